@@ -15,6 +15,20 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_files import token_files
+
+    return token_files(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_token_files": op3_token_files,
     "op9_line_dedup": op9_line_dedup,
 }
