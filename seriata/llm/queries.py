@@ -27,7 +27,21 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_pii
+
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licences import scan_licences
+
+    return scan_licences(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op6_pii": op6_pii,
+    "op7_licences": op7_licences,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_token_files": op3_token_files,
     "op9_line_dedup": op9_line_dedup,
