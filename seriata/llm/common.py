@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: ASCII upper to lower case, for bytes.translate.
@@ -47,6 +50,17 @@ def ranges(spark: SparkSession, times: int = 1) -> int:
     return times * max(32, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int | str = 1, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about size bytes of the text column, so work space does not follow Arrow's batch size."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        a = 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size)))
+            yield batch.slice(a, b - a)
+            a = b
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective mixer of unsigned 64-bit integers (shift, xor and odd multiplication)."""
     x = x.astype(np.uint64, copy=True)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import ragged, slices, written
 from .tokens import Encoder, encode_ended, vocabulary
 
 MAX_TOKENS = 1024
@@ -67,7 +67,7 @@ def pieces(docs: DataFrame, path: str | None = None, end_id: int = END_ID, max_t
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen, task = Encoder(path), Counter(), TaskContext.get().partitionId()
-        for batch in batches:
+        for batch in slices(batches):
             ids, bounds = encode_ended(encoder, batch.column(1), end_id)
             total = np.diff(bounds)
             n = -(-total // max_tokens)
@@ -84,18 +84,12 @@ def pieces(docs: DataFrame, path: str | None = None, end_id: int = END_ID, max_t
             crcs = [zlib.crc32(ids[a : a + m]) for a, m in zip(at.tolist(), length.tolist(), strict=True)]
             columns = [batch.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(crcs, pa.int64()), pa.array(np.full(len(doc), task), pa.int32()), pa.array(ranks)]
             if keep_ids:
-                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(ids.astype(np.int32)[_span(at, length)])))
+                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(ids.astype(np.int32)[ragged(at, length)])))
             yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, schema)
 
 
-def _span(at: np.ndarray, length: np.ndarray) -> np.ndarray:
-    from .common import ragged
-
-    return ragged(at, length)
-
-
 def pack(docs: DataFrame, path: str | None = None, end_id: int = END_ID, max_tokens: int = MAX_TOKENS, keep_ids: bool = False) -> DataFrame:
     """Each piece of every document with its sequence_id and offset there (and its ids if asked for).
 

@@ -36,7 +36,7 @@ _BYTES = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(
 class Encoder:
     """Encodes Arrow arrays of texts; keeps at most cache_size distinct pieces."""
 
-    def __init__(self, path: str, cache_size: int = 800_000):
+    def __init__(self, path: str, cache_size: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
