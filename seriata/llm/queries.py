@@ -39,7 +39,16 @@ def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, held_out, score_toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    scored = score_toxicity(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
+    "op10_toxicity": op10_toxicity,
     "op6_pii": op6_pii,
     "op7_licences": op7_licences,
     "op2_best_fit_packing": op2_best_fit_packing,
