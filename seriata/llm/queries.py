@@ -47,7 +47,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op8_fingerprints": op8_fingerprints,
     "op10_toxicity": op10_toxicity,
     "op6_pii": op6_pii,
     "op7_licences": op7_licences,
