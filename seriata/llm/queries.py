@@ -53,7 +53,14 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op8_fingerprints": op8_fingerprints,
     "op10_toxicity": op10_toxicity,
     "op6_pii": op6_pii,

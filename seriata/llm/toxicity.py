@@ -49,7 +49,8 @@ def read_words(texts: pa.Array) -> Words:
     texts = pc.fill_null(texts.cast(pa.string()), "")
     n = len(texts)
     offsets = np.frombuffer(texts.buffers()[1], np.int32, n + 1, texts.offset * 4) if n else np.zeros(1, np.int32)
-    raw = (texts.buffers()[2] or pa.py_buffer(b"")).to_pybytes() if n else b""
+    raw = (texts.buffers()[2] or pa.py_buffer(b"")).slice(int(offsets[0]), int(offsets[-1] - offsets[0])).to_pybytes() if n else b""
+    offsets = offsets - offsets[0]
     clean = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(raw.translate(_SPLIT))])
     lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(clean.view(pa.string())))
     coded = lists.values.dictionary_encode()
