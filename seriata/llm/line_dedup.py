@@ -21,6 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import LOWER, durable, ranges
 
@@ -284,3 +285,15 @@ def dedup_lines(docs: DataFrame, store: LineStore | None = None) -> DataFrame:
     marked = docs.mapInArrow(_version, "doc_id long, text string, version long")
     joined = marked.join(store.drops(), ["doc_id", "version"], "left").select("doc_id", "text", "keys")
     return joined.mapInArrow(_cut, "doc_id long, n_lines long, n_dropped long, kept_text string")
+
+
+def rewrite_documents(docs: DataFrame) -> DataFrame:
+    """The rows and columns of docs with the text that dedup_lines keeps (a null one stays null), and n_chars as its length."""
+    store = LineStore.empty(docs.sparkSession).insert(docs)
+    kept = T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema if f.name != "text"), *T._parse_datatype_string("was_null boolean, version long, n_lines long, n_dropped long, kept_text string")])
+    marked = docs.withColumn("was_null", F.col("text").isNull())
+    marked = marked.mapInArrow(_version, T.StructType([*marked.schema, T.StructField("version", T.LongType())]))
+    cut = marked.join(store.drops(), ["doc_id", "version"], "left").select(*[f.name for f in docs.schema if f.name != "text"], "was_null", "version", "text", "keys").mapInArrow(_cut, kept)
+    text = F.when(F.col("was_null"), F.lit(None).cast("string")).otherwise(F.col("kept_text"))
+    now = {"text": text, "n_chars": F.length("kept_text").cast("long")}
+    return cut.select(*(now.get(c, F.col(c)).alias(c) for c in docs.columns))

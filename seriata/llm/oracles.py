@@ -15,4 +15,22 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM j GROUP BY doc_id
 """
 
-ORACLES = {"op9_line_dedup": OP9}
+_WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
+
+#: Every window that a shared shingle aligns with an item, by exact similarity.
+OP5 = f"""
+WITH d AS (SELECT DISTINCT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL),
+b AS (SELECT DISTINCT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+ds AS (SELECT doc_id, len(w) AS n, i, array_to_string(w[i + 1 : i + 5], ' ') AS s FROM (SELECT *, unnest(range(0, len(w) - 4)) AS i FROM d WHERE len(w) >= 5)),
+bs AS (SELECT item_id, len(w) AS l, i AS o, array_to_string(w[i + 1 : i + 5], ' ') AS s FROM (SELECT *, unnest(range(0, len(w) - 4)) AS i FROM b WHERE len(w) >= 5)),
+hit AS (SELECT DISTINCT doc_id, item_id, l, greatest(0, least(i - o, n - l)) AS st FROM ds JOIN bs USING (s)),
+a AS (SELECT doc_id, item_id, st, ds.s, count(*) AS n FROM hit JOIN ds USING (doc_id) WHERE ds.i >= st AND ds.i <= st + l - 5 GROUP BY ALL),
+c AS (SELECT doc_id, item_id, st, bs.s, count(*) AS n FROM hit JOIN bs USING (item_id) GROUP BY ALL),
+j AS (SELECT coalesce(a.doc_id, c.doc_id) AS doc_id, coalesce(a.item_id, c.item_id) AS item_id, coalesce(a.st, c.st) AS st,
+             sum(least(coalesce(a.n, 0), coalesce(c.n, 0))) / sum(greatest(coalesce(a.n, 0), coalesce(c.n, 0))) AS sim
+      FROM a FULL JOIN c ON a.doc_id = c.doc_id AND a.item_id = c.item_id AND a.st = c.st AND a.s = c.s GROUP BY 1, 2, 3)
+SELECT doc_id, item_id, CAST(arg_min(st, struct_pack(x := -sim, y := st)) AS BIGINT) AS start, CAST(max(sim) AS DOUBLE) AS similarity
+FROM j WHERE sim >= 0.8 GROUP BY doc_id, item_id
+"""
+
+ORACLES = {"op5_decontaminate": OP5, "op9_line_dedup": OP9}

@@ -59,7 +59,21 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op4_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chats import link_quotes
+
+    return link_quotes(table(spark, sf_dir, "conversations"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op4_chats": op4_chats,
+    "op5_decontaminate": op5_decontaminate,
     "op1_jaccard_join": op1_jaccard_join,
     "op8_fingerprints": op8_fingerprints,
     "op10_toxicity": op10_toxicity,

@@ -342,3 +342,16 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, "doc_id long, score double, predicted int")
+
+
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, all their columns, whose text the model does not call toxic."""
+    box = docs.sparkSession.sparkContext.broadcast({k: v.astype(np.float32) for k, v in model.p.items()})
+    at = docs.columns.index("text")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = Model(box.value)
+        for batch in slices(batches, at):
+            yield batch.filter(pa.array(net.score(batch.column(at)) < 0.5))
+
+    return docs.mapInArrow(scan, docs.schema)
