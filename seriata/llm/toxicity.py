@@ -55,7 +55,7 @@ def read_words(texts: pa.Array) -> Words:
     lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(clean.view(pa.string())))
     coded = lists.values.dictionary_encode()
     names = coded.dictionary.to_pylist()
-    codes = coded.indices.to_numpy().astype(np.int64) + 1
+    codes = coded.indices.to_numpy().astype(np.int32) + 1
     if "" in names:
         codes[codes == names.index("") + 1] = 0
     held = [b""] + [x.encode() for x in names]
@@ -91,11 +91,11 @@ def windows(words: Words) -> tuple[np.ndarray, np.ndarray]:
     each = np.maximum(1, -(-(count - (WINDOW - STRIDE)) // STRIDE))
     text = np.repeat(np.arange(len(count)), each)
     first = (np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)) * STRIDE
-    at = first[:, None] + np.arange(WINDOW)
-    inside = at < count[text][:, None]
-    codes = np.zeros(at.shape, np.int64)
-    where = words.bounds[:-1][text][:, None] + at
-    codes[inside] = words.codes[where[inside]]
+    codes = np.zeros((len(text), WINDOW), np.int32)
+    begin, end = words.bounds[:-1][text] + first, words.bounds[1:][text]
+    for k in range(WINDOW):
+        inside = begin + k < end
+        codes[inside, k] = words.codes[begin[inside] + k]
     return codes, text
 
 
