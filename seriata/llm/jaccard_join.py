@@ -229,6 +229,35 @@ def list_pairs(index: DataFrame, share: int) -> DataFrame:
 
 
 # ---------------------------------------------------------------- comparing
+BLOOM_BITS = 25
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (doc_id, ...) with each document's text, compressed.
+
+    A Bloom filter of fixed size lets most other rows go before the shuffle; what
+    it lets through by mistake the join drops, so any load gives whole results.
+    """
+    spot = lambda k: F.pmod(F.xxhash64(F.lit(k), "doc_id"), F.lit(1 << BLOOM_BITS))
+    bits = wanted.select(F.explode(F.array(spot(1), spot(2))).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+    table = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
+    for r in bits.toLocalIterator():  # at most as many rows as the filter has words
+        table[r.word] = r.bits
+    box = docs.sparkSession.sparkContext.broadcast(table)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, squeeze = box.value, zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            spots = [batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3)]
+            ok = np.logical_and(*((table[x >> 6] >> (x & 63)) & 1 == 1 for x in spots)) if batch.num_rows else np.zeros(0, bool)
+            part = batch.filter(pa.array(ok))
+            blobs = [squeeze.compress((x.as_py() or "").encode()) for x in part.column(1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blobs, pa.binary())], ["doc_id", "blob"])
+
+    rows = docs.where("doc_id is not null").select("doc_id", "text", spot(1).alias("s1"), spot(2).alias("s2")).mapInArrow(keep, "doc_id long, blob binary")
+    return rows.join(wanted, "doc_id")
+
+
 def linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, share: int) -> DataFrame:
     """(a, b): those pairs of nodes whose sets are similar enough, by their whole sets.
 
@@ -238,19 +267,19 @@ def linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, shar
     pairs = durable(pairs.select("a", "b").distinct())
     degree = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
     known = durable(degree.join(nodes, "node").select("node", "doc_id", "n"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(written(known), "doc_id").select("node", "n", "text")
+    texts = written(texts_of(docs, known).select("node", "blob"))
     weighed = pairs.join(known.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(known.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
     hub, other, n = (F.when(F.col("na") >= F.col("nb"), F.col(x)).otherwise(F.col(y)) for x, y in (("a", "b"), ("b", "a"), ("na", "nb")))
     groups = lambda n: F.ceil(n / 64).cast("int")
     asked = weighed.select(hub.alias("hub"), other.alias("node"), n.alias("hub_n"))
-    with_text = asked.join(texts.select("node", "text"), "node").select("hub", F.pmod(F.xxhash64("node"), groups(F.col("hub_n"))).cast("int").alias("group"), "node", "text")
+    with_text = asked.join(texts, "node").select("hub", F.pmod(F.xxhash64("node"), groups(F.col("hub_n"))).cast("int").alias("group"), "node", "blob")
     used = asked.select(F.col("hub").alias("node"), F.pmod(F.xxhash64("node"), groups(F.col("hub_n"))).cast("int").alias("group")).distinct()
-    hubs = used.join(texts.select("node", "text"), "node").select(F.col("node").alias("hub"), "group", F.lit(None).cast("long").alias("node"), "text")
+    hubs = used.join(texts, "node").select(F.col("node").alias("hub"), "group", F.lit(None).cast("long").alias("node"), "blob")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, None
-        for batch in slices(batches, 3):
-            sets = shingle_sets(batch.column(3), words)
+        at, held, expand = None, None, zstandard.ZstdDecompressor()
+        for batch in slices(batches, 3, 1 << 20):
+            sets = shingle_sets(pa.array([expand.decompress(x.as_py()) if len(x.as_py()) else b"" for x in batch.column(3)], pa.binary()).cast(pa.string()), words)
             a, b = [], []
             for hub, group, node, s in zip(*(batch.column(k).to_pylist() for k in range(3)), sets, strict=True):
                 if node is None:
@@ -318,8 +347,10 @@ def jaccard_components(docs: DataFrame, words: int = 4, share: int = 85) -> Data
     by_doc = first.join(nodes.select(F.col("node").alias("a"), F.col("doc_id").alias("da")), "a").join(nodes.select(F.col("node").alias("b"), F.col("doc_id").alias("db")), "b").select(F.col("da").alias("a"), F.col("db").alias("b"))
     found = durable(components(by_doc))
     label = nodes.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("node", F.coalesce("component", "doc_id").alias("label"))
-    # Second level: entries whose component is not their pivot's, against the entries of other components.
-    told = member.join(main, "token").join(label, "node").join(label.select(F.col("node").alias("main"), F.col("label").alias("main_label")), "main")
+    # Second level: entries whose component is not their pivot's, against the entries of other components. Lists of one component are done.
+    labelled = written(member.drop("pivot").join(label, "node"))
+    mixed = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
+    told = labelled.join(written(mixed), "token").join(main, "token").join(label.select(F.col("node").alias("main"), F.col("label").alias("main_label")), "main")
     told = written(told.select("token", "node", "size", "place", "label", (F.col("label") != F.col("main_label")).alias("apart")).distinct())
     apart = told.where("apart").select("token", *(F.col(c).alias(f"{c}_x") for c in ("node", "size", "place", "label")))
     overlap = F.least(F.col("size") - F.col("place"), F.col("size_x") - F.col("place_x"))
