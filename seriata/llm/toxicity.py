@@ -208,12 +208,16 @@ class Model:
         return _sigmoid(best.astype(np.float64))
 
 
-def _odds(rows: np.ndarray, text: np.ndarray, toxic: np.ndarray, of: np.ndarray, bits: int, weight: float = 5.0) -> np.ndarray:
-    """Smoothed log-odds of a hashed feature: in how many toxic and other texts it stands, against what their numbers would give."""
+def _count(n: np.ndarray, rows: np.ndarray, text: np.ndarray, toxic: np.ndarray) -> None:
+    """Adds to n[label, row] the number of texts that a hashed feature stands in."""
     pairs = np.unique(text.astype(np.uint64) << np.uint64(32) | rows.astype(np.uint64))
     label = toxic[(pairs >> np.uint64(32)).astype(np.int64)]
-    n = [np.bincount((pairs[label == k] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=1 << bits) for k in (0, 1)]
-    share = (toxic[of].sum() + 1) / (of.sum() + 2)
+    for k in (0, 1):
+        n[k] += np.bincount((pairs[label == k] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=n.shape[1])
+
+
+def _odds(n: np.ndarray, share: float, weight: float = 5.0) -> np.ndarray:
+    """Smoothed log-odds of features, against what the numbers of toxic and other texts would give."""
     odds = np.log((n[1] + weight * share) / (n[0] + weight * (1 - share))) - np.log(share / (1 - share))
     return (odds * np.abs(odds) / 4).astype(np.float32)  # squared, so that much weak evidence does not add up to strong evidence
 
@@ -236,10 +240,16 @@ def train(texts: list[str | None], toxic: list[int], rounds: int = 4, seed: int
     # Log-odds of a text's own label would tell it apart: each half of the texts is read with those of the other half.
     half = mix64(np.arange(len(y), dtype=np.uint64) + np.uint64(seed)).astype(np.int64) & 1
 
+    label, cuts = y.astype(np.int64), np.searchsorted(doc, np.arange(0, len(y) + 100, 100))
+
     def odds(of: np.ndarray) -> dict[str, np.ndarray]:
-        on = of[doc]
-        grams = w.gram_rows[ragged(w.gram_starts[word[on]], size[word[on]])]
-        return {"word_odds": _odds(w.word_rows[word[on]], doc[on], y.astype(np.int64), of, WORD_BITS), "gram_odds": _odds(grams, np.repeat(doc[on], size[word[on]]), y.astype(np.int64), of, CHAR_BITS)}
+        n_word, n_gram = np.zeros((2, 1 << WORD_BITS)), np.zeros((2, 1 << CHAR_BITS))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):  # a hundred texts at a time
+            at = np.flatnonzero(of[doc[a:b]]) + a
+            _count(n_word, w.word_rows[word[at]], doc[at], label)
+            _count(n_gram, w.gram_rows[ragged(w.gram_starts[word[at]], size[word[at]])], np.repeat(doc[at], size[word[at]]), label)
+        share = (label[of].sum() + 1) / (of.sum() + 2)
+        return {"word_odds": _odds(n_word, share), "gram_odds": _odds(n_gram, share)}
 
     other = [odds(half == 1), odds(half == 0)]
     r = np.random.default_rng(seed)
