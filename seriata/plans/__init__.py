@@ -1 +1,6 @@
+"""Queries over the driver's tables, with their SQL twins."""
 
+from . import geometry, solvers, tables  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
