@@ -52,7 +52,7 @@ def i06(spark, d):
 
 
 _HEX = """WITH c AS (SELECT i % 22 AS col, i // 22 AS row FROM range(572) t(i)),
-p AS (SELECT col, row, (col + (row % 2) * 0.5 - 10.5 - 0.25) * 16.0 AS x, (row - 12.5) * (sqrt(3) / 2 * 16.0) AS y FROM c),
+p AS (SELECT col, row, CAST((col + (row % 2) * 0.5 - 10.5 - 0.25) * 16.0 AS DOUBLE) AS x, (row - 12.5) * (sqrt(3) / 2 * 16.0) AS y FROM c),
 f AS (SELECT row * 22 + col AS c0 FROM p ORDER BY round(x * x + y * y, 9), row, col LIMIT 1),
 g AS (SELECT CAST(CASE WHEN row * 22 + col = c0 THEN 0 WHEN row * 22 + col < c0 THEN row * 22 + col + 1 ELSE row * 22 + col END AS INTEGER) AS grid_id, col, row, x, y FROM p, f)"""
 
@@ -237,7 +237,7 @@ def a02(spark, d):
     return experiments(rows, "page_id", "folder")
 
 
-@query("b03_write_coordinates", "SELECT count(*) AS n, sum(length(v)) AS chars, max(v) AS last_ FROM (SELECT p_name || ' ' || printf('%.6f', CAST(p_size AS DOUBLE)) || ' ' || printf('%.6f', CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE p_retailprice END) AS v FROM part)")
+@query("b03_write_coordinates", "SELECT count(*) AS n, CAST(sum(length(v)) AS BIGINT) AS chars, max(v) AS last_ FROM (SELECT p_name || ' ' || printf('%.6f', CAST(p_size AS DOUBLE)) || ' ' || printf('%.6f', CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE p_retailprice END) AS v FROM part)")
 def b03(spark, d):
     y = F.when(F.col("p_partkey") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("p_retailprice"))
     tiles = Tables(spark, d).part.select(F.col("p_name").alias("path"), F.col("p_size").cast("double").alias("x"), y.alias("y"))
