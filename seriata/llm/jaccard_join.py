@@ -264,7 +264,7 @@ def linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, shar
     A node that is compared with many meets them in several groups, each with
     its own copy of that node's text.
     """
-    pairs = durable(pairs.select("a", "b").distinct())
+    pairs = durable(pairs.select("a", "b").distinct())  # read three times
     degree = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
     known = durable(degree.join(nodes, "node").select("node", "doc_id", "n"))
     texts = written(texts_of(docs, known).select("node", "blob"))
@@ -297,23 +297,24 @@ def linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, shar
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component): the smallest node that links (a, b) reach from each linked node, by alternating large and small stars."""
-    edges = durable(links.select("a", "b").where("a <> b").distinct())
-    before = None
+    """(node, component): the smallest node that links (a, b) reach from each linked node, by alternating large and small stars.
+
+    It ends when the edges are stars: no node hangs on two, and none that hangs
+    on another is hung upon.
+    """
+    edges = durable(links.select("a", "b").where("a <> b"))
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = durable(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))  # neighbours above a node hang on its least neighbour
-        large = durable(large.where("a <> b").distinct())
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        down = durable(large.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
         least = durable(down.groupBy("a").agg(F.min("b").alias("m")))
-        small = down.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        edges = durable(small)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if now == before:
-            break
-        before = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        ends = F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+        edges = durable(down.join(least, "a").select(F.explode(ends).alias("e")).select("e.a", "e.b").where("a <> b").distinct())
+        part = F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("hangs")), F.struct(F.col("b").alias("node"), F.lit(0).alias("hangs"))))
+        roles = edges.select(part.alias("r")).groupBy("r.node").agg(F.sum("r.hangs").alias("hangs"), F.min("r.hangs").alias("least"))
+        if roles.where("hangs > 1 or (hangs = 1 and least = 0)").isEmpty():
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
 def jaccard_components(docs: DataFrame, words: int = 4, share: int = 85) -> DataFrame:
@@ -344,8 +345,8 @@ def jaccard_components(docs: DataFrame, words: int = 4, share: int = 85) -> Data
     meet = pivots.join(main, "token").where("node <> main").select(F.least("node", "main").alias("a"), F.greatest("node", "main").alias("b"))
     first = durable(linked(lists.where("kind = 0").select("a", "b").unionByName(meet), nodes, docs, words, share))
     # Nodes whose doc_id is that of another node are one document.
-    by_doc = first.join(nodes.select(F.col("node").alias("a"), F.col("doc_id").alias("da")), "a").join(nodes.select(F.col("node").alias("b"), F.col("doc_id").alias("db")), "b").select(F.col("da").alias("a"), F.col("db").alias("b"))
-    found = durable(components(by_doc))
+    by_doc = first.join(nodes.select(F.col("node").alias("a"), F.col("doc_id").alias("da")), "a").join(nodes.select(F.col("node").alias("b"), F.col("doc_id").alias("db")), "b").select(F.col("da").alias("a"), F.col("db").alias("b")).distinct()
+    found = components(by_doc)
     label = nodes.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("node", F.coalesce("component", "doc_id").alias("label"))
     # Second level: entries whose component is not their pivot's, against the entries of other components. Lists of one component are done.
     labelled = written(member.drop("pivot").join(label, "node"))
@@ -357,9 +358,9 @@ def jaccard_components(docs: DataFrame, words: int = 4, share: int = 85) -> Data
     rest = apart.join(told, "token").where((F.col("label") != F.col("label_x")) & ((100 + share) * overlap >= share * (F.col("size") + F.col("size_x"))))
     rest = durable(rest.select(F.least("node", "node_x").alias("a"), F.greatest("node", "node_x").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        more = linked(rest, nodes, docs, words, share)
-        by_doc = by_doc.unionByName(more.join(nodes.select(F.col("node").alias("a"), F.col("doc_id").alias("da")), "a").join(nodes.select(F.col("node").alias("b"), F.col("doc_id").alias("db")), "b").select(F.col("da").alias("a"), F.col("db").alias("b")))
-        found = durable(components(by_doc))
+        more = durable(linked(rest, nodes, docs, words, share))
+        by_doc = by_doc if more.isEmpty() else by_doc.unionByName(more.join(nodes.select(F.col("node").alias("a"), F.col("doc_id").alias("da")), "a").join(nodes.select(F.col("node").alias("b"), F.col("doc_id").alias("db")), "b").select(F.col("da").alias("a"), F.col("db").alias("b")))
+        found = found if more.isEmpty() else components(by_doc)
     own = rows.join(nodes.withColumnRenamed("doc_id", "first_doc"), "node", "left")
     out = own.join(found.select(F.col("node").alias("first_doc"), "component"), "first_doc", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "first_doc", "doc_id")).alias("component_id"))
