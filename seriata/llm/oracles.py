@@ -33,4 +33,16 @@ SELECT doc_id, item_id, CAST(arg_min(st, struct_pack(x := -sim, y := st)) AS BIG
 FROM j WHERE sim >= 0.8 GROUP BY doc_id, item_id
 """
 
-ORACLES = {"op5_decontaminate": OP5, "op9_line_dedup": OP9}
+#: All pairs that share a shingle, by exact counts, and what they reach.
+OP1 = f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+b AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+r AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT r.node, b.y FROM r JOIN b ON b.x = r.seen)
+SELECT node AS doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(seen) AS component_id FROM r LEFT JOIN n ON n.doc_id = node GROUP BY node
+"""
+
+ORACLES = {"op1_jaccard_join": OP1, "op5_decontaminate": OP5, "op9_line_dedup": OP9}
