@@ -112,8 +112,8 @@ def e11(spark, d):
 def j02(spark, d):
     """Two disjoint spanning forests: acyclic, as many edges as nodes less components, and no edge twice."""
     t = Tables(spark, d)
-    e = J.durable(supplier_edges(t).where("src < 40 and dst < 40").withColumn("w", (F.col("src") * 7919 + F.col("dst") * 104729) % 1009))
-    nodes = t.supplier.where("s_suppkey < 40").select(F.col("s_suppkey").alias("node"))
+    e = J.durable(supplier_edges(t).withColumn("w", (F.col("src") * 7919 + F.col("dst") * 104729) % 1009))
+    nodes = t.supplier.select(F.col("s_suppkey").alias("node"))
     trees = J.durable(J.spanning_rounds(nodes, e, 2))
     n = nodes.count()
     parts = J.components(nodes, e).agg(F.count_distinct("component")).first()[0]
@@ -258,7 +258,7 @@ def j16(spark, d):
     """Adjustments of suppliers' histograms from lags in a band of three, per component centred."""
     t = Tables(spark, d)
     h = S.dense(S.histogram(t.lineitem.withColumn("id", F.col("l_suppkey")), ["id"], F.col("l_quantity")), ["id"])
-    e = t.supplier.where("s_suppkey < 20").select(F.col("s_suppkey").alias("src"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("k")).select("src", (F.col("src") + F.col("k")).alias("dst")).where("dst < 20")
+    e = t.supplier.select(F.col("s_suppkey").alias("src"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("k")).select("src", (F.col("src") + F.col("k")).alias("dst"))
     lags = D.lag_correlation(h, e, 8).select(F.lit(0).alias("section"), "src", "dst", (-F.col("lag")).alias("dx"), F.lit(0.0).alias("dy"), F.lit(1.0).alias("w"))
     return V.group_least_squares(lags, ["section"]).select("node", F.round(F.when(F.abs("x") <= 16, F.col("x")).otherwise(0.0), 6).alias("adjust"), "component")
 
