@@ -1,16 +1,15 @@
 """Benchmark decontamination in DataFrame functions alone.
 
-Windows of a document are as long as a benchmark item and stand where one of
-its shingles would put the item: a window that is similar enough shares a
-shingle, so none is missed. Each window has a SimHash of its shingles. A
-multi-index over Hamming blocks finds the items' fingerprints: RADIUS + 1
-blocks, so two fingerprints within RADIUS agree in one at least. What it finds
-is verified by the exact weighted similarity of the shingles, where a shingle
-weighs as often as it stands.
+Windows of a document are as long as a benchmark item and stand at every start
+where enough of their shingles are shared with it: a window that is similar
+enough has that many in common, in whatever order, so none is missed. Each
+window has a SimHash of its shingles, and must agree with the item's in one of
+RADIUS + 1 Hamming blocks and be within RADIUS of it. The exact weighted
+similarity of the shingles decides, where a shingle weighs as often as it stands.
 
 At a similarity of 0.8 fingerprints differ in about 10 of 64 bits, so a radius
 that loses nothing (24, five standard deviations beyond) leaves blocks too
-short to search by alone; hence the anchors come first.
+short to search by; the shared shingles search, the fingerprints only sift.
 """
 
 from __future__ import annotations
@@ -62,10 +61,31 @@ def similarity(a: str, b: str) -> Column:
     return F.expr(f"{total('least')} / {total('greatest')}")
 
 
+def starts(places: str, n: str, size: Column | str, item_size: Column) -> Column:
+    """Every start of a window of size shingles, in a text of n, that holds as many shared ones as SIMILARITY takes at least; ascending.
+
+    places: where the shared shingles stand, ascending. Similar windows have
+    c / (item_size + size - c) >= SIMILARITY for c in common. A start belongs to
+    the first place at or after it, so the number of starts follows the text.
+    """
+    least = F.greatest(F.lit(1), F.ceil((item_size + F.col(size)) * SIMILARITY / (1 + SIMILARITY) - 1e-6).cast("int"))
+
+    def after(p: Column, need: Column) -> Column:
+        def run(j: Column) -> Column:
+            low = F.greatest(F.lit(0), F.get(p, j + need - 1) - F.col(size) + 1, F.coalesce(F.when(j > 0, F.get(p, j - 1) + 1), F.lit(0)))
+            high = F.least(F.get(p, j), F.col(n) - F.col(size))
+            return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+        return F.when(F.size(p) >= need, F.flatten(F.transform(F.sequence(F.lit(0), F.size(p) - need), run))).otherwise(F.array().cast("array<int>"))
+
+    return _let(F.struct(F.col(places).alias("p"), least.alias("need")), lambda x: after(x["p"], x["need"]))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, start, similarity): the best window, and of equals the first, of every document that holds an item.
+    """(doc_id, item_id, start, similarity): the best window of every document that holds an item.
 
-    start counts words from 0. An item of fewer than WORDS words, or a null one,
+    Of equally good windows one that puts a shared shingle at the item's own
+    place goes first, then the earliest. start counts words from 0. An item of fewer than WORDS words, or a null one,
     has no shingle and is held by nothing; so have such documents. Rows that
     share a doc_id are one document, rows of an item_id one item with several
     texts; rows with a null id are left out. Other columns do not matter.
@@ -77,19 +97,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     anchors = items.select("item", "n_words", F.posexplode("item_shingles").alias("offset", "hash"))
     if anchors.count() <= MOST_BROADCAST:
         anchors = F.broadcast(anchors)
-    places = docs.select("doc_id", F.posexplode(shingle_hashes(words_of(F.col("text")))).alias("place", "hash"))
-    hits = places.join(anchors, "hash").select("doc_id", "item", "n_words", (F.col("place") - F.col("offset")).alias("start")).distinct()
-    hits = written(hits)
-    held = written(hits.select("doc_id").distinct())
-    texts = docs.join(held, "doc_id").distinct().select("doc_id", words_of(F.col("text")).alias("words"))
-    first = F.greatest(F.lit(0), F.least(F.col("start"), F.size("words") - F.col("n_words")))
-    windows = texts.join(hits, "doc_id").select("doc_id", "item", first.alias("start"), F.slice("words", first + 1, F.col("n_words")).alias("window")).distinct()
-    windows = windows.select("doc_id", "item", "start", shingle_hashes(F.col("window")).alias("shingles"))
-    windows = durable(windows.where("size(shingles) > 0").withColumn("print", simhash("shingles")))
-    ours = windows.select("doc_id", "item", "start", F.col("print"), F.explode(blocks("print")).alias("at"))
+    cut = docs.select("doc_id", F.xxhash64("text").alias("copy"), shingle_hashes(words_of(F.col("text"))).alias("shingles"))
+    places = cut.select("doc_id", "copy", F.size("shingles").alias("n"), "shingles").select("doc_id", "copy", "n", F.posexplode("shingles").alias("place", "hash"))
+    shared = places.join(anchors, "hash").groupBy("doc_id", "copy", "n", "item", "n_words")
+    shared = shared.agg(F.sort_array(F.collect_set("place")).alias("places"), F.collect_set(F.col("place") - F.col("offset")).alias("aligned"))
+    shared = shared.withColumn("size", F.least(F.col("n_words") - (WORDS - 1), "n"))
+    hits = shared.withColumn("starts", starts("places", "n", "size", F.col("n_words") - (WORDS - 1))).where("size(starts) > 0")
+    hits = written(hits.withColumn("aligned", F.transform("aligned", lambda x: F.greatest(F.lit(0), F.least(x, F.col("n") - F.col("size"))))).drop("places", "n", "n_words"))
+    held = written(hits.select("doc_id", "copy").distinct())
+    texts = docs.withColumn("copy", F.xxhash64("text")).join(held, ["doc_id", "copy"]).distinct().select("doc_id", "copy", shingle_hashes(words_of(F.col("text"))).alias("all"))
+    told = lambda some, apart: F.transform(some, lambda x: F.struct(x.alias("start"), F.lit(apart).alias("apart")))
+    each = F.concat(told(F.array_intersect("starts", "aligned"), False), told(F.array_except("starts", "aligned"), True))
+    windows = texts.join(hits, ["doc_id", "copy"]).select("doc_id", "copy", "item", "size", "all", F.explode(each).alias("w"))
+    windows = windows.select("doc_id", "copy", "item", "w.start", "w.apart", F.slice("all", F.col("w.start") + 1, F.col("size")).alias("shingles"))
+    windows = durable(windows.withColumn("print", simhash("shingles")))
+    ours = windows.select("doc_id", "copy", "item", "start", F.col("print"), F.explode(blocks("print")).alias("at"))
     theirs = items.select("item", "item_print", F.explode(blocks("item_print")).alias("at"))
-    near = ours.join(theirs, ["item", "at"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS).select("doc_id", "item", "start").distinct()
-    checked = near.join(windows, ["doc_id", "item", "start"]).join(items.select("item", "item_id", "item_shingles"), "item").select("doc_id", "item_id", "start", similarity("shingles", "item_shingles").alias("similarity"))
+    near = ours.join(theirs, ["item", "at"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS).select("doc_id", "copy", "item", "start").distinct()
+    checked = near.join(windows, ["doc_id", "copy", "item", "start"]).join(items.select("item", "item_id", "item_shingles"), "item").select("doc_id", "item_id", "start", "apart", similarity("shingles", "item_shingles").alias("similarity"))
     found = checked.where(F.col("similarity") >= SIMILARITY)
-    best = found.groupBy("doc_id", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("less"), "start")).alias("best"))
+    best = found.groupBy("doc_id", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("less"), "apart", "start")).alias("best"))
     return best.select("doc_id", "item_id", F.col("best.start").cast("long").alias("start"), (-F.col("best.less")).alias("similarity"))

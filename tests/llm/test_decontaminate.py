@@ -54,3 +54,29 @@ def test_against_brute_force(spark, docs_of):
     got = sorted(tuple(x) for x in contaminated(docs_of(docs), bench).collect())
     assert got == brute(docs, items)
     assert contaminated(docs_of([]), bench).count() == 0 and contaminated(docs_of(docs), bench.limit(0)).count() == 0
+
+
+def test_parts_in_another_order(spark, docs_of):
+    """Every start counts, also where no shared shingle stands at the item's own place."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    items = [(i, [word() for _ in range(n)]) for i, n in enumerate((60, 75, 90, 120))]
+    docs = []
+    for k in range(60):
+        b = list(r.choice(items)[1])
+        cut = r.randrange(10, len(b) - 10)
+        b = b[cut:] + b[:cut]
+        for _ in range(r.randrange(0, 2)):
+            b[r.randrange(len(b))] = word()
+        docs.append((k, " ".join([*(word() for _ in range(r.randrange(0, 30))), *b, *(word() for _ in range(r.randrange(0, 30)))])))
+    want = {}
+    for d, t in docs:
+        w = words(t)
+        for i, b in items:
+            v = shingles(b)
+            sims = [sum((u & v).values()) / sum((u | v).values()) for s in range(max(1, len(w) - len(b) + 1)) for u in [shingles(w[s : s + len(b)])]]
+            if max(sims) >= 0.8:
+                want[d, i] = max(sims)
+    bench = spark.createDataFrame([(i, " ".join(b)) for i, b in items], "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x.similarity for x in contaminated(docs_of(docs), bench).collect()}
+    assert len(want) > 20 and got == {k: pytest.approx(v) for k, v in want.items()}
