@@ -78,7 +78,10 @@ def _paths(links: DataFrame) -> DataFrame:
 
 
 def transcripts(linked: DataFrame) -> DataFrame:
-    """conv_id, part, turns, chat: conversations in reply order, cut where PART turn numbers of thread starts end, so that no row follows a conversation's length."""
+    """conv_id, part, turns, replies, chat: conversations in reply order, cut where PART turn numbers of thread starts end.
+
+    replies has for each of turns the turn that it answers, or null.
+    """
     keyed = linked.withColumn("part", F.floor(F.col("path")[0] / PART))
-    told = keyed.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("path", "turn", "chat"))).alias("m"))
-    return told.select("conv_id", "part", F.transform("m", lambda x: x["turn"]).alias("turns"), F.array_join(F.transform("m", lambda x: x["chat"]), "").alias("chat"))
+    told = keyed.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("path", "turn", "chat", "reply_to"))).alias("m"))
+    return told.select("conv_id", "part", F.transform("m", lambda x: x["turn"]).alias("turns"), F.transform("m", lambda x: x["reply_to"]).alias("replies"), F.array_join(F.transform("m", lambda x: x["chat"]), "").alias("chat"))

@@ -60,9 +60,9 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .chats import link_quotes
+    from .chats import link_quotes, transcripts
 
-    return link_quotes(table(spark, sf_dir, "conversations"))
+    return transcripts(link_quotes(table(spark, sf_dir, "conversations")))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,3 +78,13 @@ def test_against_brute_force(spark):
     got = {(x.conv_id, x.turn): x.reply_to for x in link_quotes(df).collect()}
     assert got == brute(rows)
     assert link_quotes(df.limit(0)).count() == 0
+
+
+def test_query_gives_conversations(spark, tmp_path):
+    from seriata.llm.queries import op4_chats
+
+    spark.createDataFrame(TALK, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    talk = {(r.conv_id, r.part): r for r in op4_chats(spark, str(tmp_path)).collect()}
+    assert talk[1, 0].turns == [0, 4, 1, 2, 3, 5] and talk[1, 0].replies == [None, 0, None, 1, 2, None]
+    assert talk[2, 0].turns == [0, 0, 1] and talk[None, 0].chat == "<|user|>\ny\n<|end|>\n"
+    assert talk[1, 0].chat.count("<|end|>") == 6
