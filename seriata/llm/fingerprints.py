@@ -3,8 +3,9 @@
 Symbols are words (runs without white space, cut after SYMBOL code points). A
 run of K symbols is a closed syncmer if the smallest hash of its inner runs of
 S symbols lies at one of its ends: whether it is one depends on nothing outside
-it, so an edit elsewhere moves no anchor. A fingerprint holds the SIZE anchors
-with the smallest hashes, each with the place of its first symbol.
+it, so an edit elsewhere moves no anchor. Every anchor has the place of its
+first symbol. All of a text's anchors are compared; the fingerprint that is
+printed holds the SIZE ones with the smallest hashes.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ def _let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def fingerprint(text: Column) -> Column:
-    """array<bigint>: per anchor 39 bits of its hash above 24 bits of its place, in ascending order.
+def anchors_of(text: Column) -> Column:
+    """array<bigint>: per distinct anchor 39 bits of its hash above 24 bits of its place, in ascending order.
 
     A text without an anchor (fewer than K words, or none among them) has its
     own hash as the only one; so have equal short texts.
@@ -45,7 +46,7 @@ def fingerprint(text: Column) -> Column:
         chosen = F.filter(F.sequence(F.lit(0), F.size(v) - F.lit(K)), is_closed)
         found = F.sort_array(F.transform(chosen, lambda i: packed(F.xxhash64(*(at(i, k) for k in range(0, inner, S))), i)))
         once = _let(found, lambda a: F.filter(a, lambda x, j: (j == 0) | (F.shiftright(x, PLACE_BITS) != F.shiftright(F.get(a, j - 1), PLACE_BITS))))
-        return F.when(F.size(v) >= K, F.slice(once, 1, SIZE))
+        return F.when(F.size(v) >= K, once)
 
     words = F.regexp_extract_all(text, F.lit(f"[^\\x20\\t-\\r]{{1,{SYMBOL}}}"), F.lit(0))
     runs = _let(words, lambda w: F.zip_with(w, F.slice(w, 2, F.size(w)), lambda a, b: F.xxhash64(a, b)))
@@ -53,32 +54,38 @@ def fingerprint(text: Column) -> Column:
     return _let(_let(runs, anchors), lambda a: F.when(F.coalesce(F.size(a), F.lit(0)) > 0, a).otherwise(alone))
 
 
+def fingerprint(text: Column) -> Column:
+    """The SIZE anchors with the smallest hashes."""
+    return F.slice(anchors_of(text), 1, SIZE)
+
+
 def _hashes(print_: Column) -> Column:
     return F.transform(print_, lambda x: F.shiftright(x, PLACE_BITS))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of common anchors among the SIZE smallest of both fingerprints: their Jaccard similarity if both are whole."""
+    """Jaccard similarity of two sets of anchors."""
 
     def of(x: Column, y: Column) -> Column:
-        least = lambda u: F.size(F.array_intersect(F.array_intersect(x, y), u)) / F.size(u)
-        return _let(F.slice(F.sort_array(F.array_union(x, y)), 1, SIZE), least)
+        return _let(F.size(F.array_intersect(x, y)), lambda n: n / (F.size(x) + F.size(y) - n))
 
     return _let(_hashes(a), lambda x: _let(_hashes(b), lambda y: of(x, y)))
 
 
 def shift(a: Column, b: Column) -> Column:
     """Positional match: by how many symbols most common anchors stand later in b than in a (the smallest such on ties); null without any."""
-    place = lambda x: x.bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
-    there = F.array_intersect(_hashes(a), _hashes(b))
+    low = F.lit((1 << PLACE_BITS) - 1)
+    of = lambda x, side: F.shiftleft(F.shiftright(x, PLACE_BITS), PLACE_BITS + 1).bitwiseOR(F.lit(side << PLACE_BITS)).bitwiseOR(x.bitwiseAND(low))
+    both = F.sort_array(F.concat(F.transform(a, lambda x: of(x, 0)), F.transform(b, lambda x: of(x, 1))))  # a common anchor's two places stand side by side
+    by = lambda x, y: F.when(F.shiftright(x, PLACE_BITS + 1) == F.shiftright(y, PLACE_BITS + 1), y.bitwiseAND(low) - x.bitwiseAND(low))
+    found = _let(both, lambda m: F.sort_array(F.filter(F.zip_with(m, F.slice(m, 2, F.size(m)), by), lambda d: d.isNotNull())))
 
-    def of(h: Column) -> Column:
-        in_a = F.filter(a, lambda x: F.array_contains(h, F.shiftright(x, PLACE_BITS)))
-        in_b = F.filter(b, lambda x: F.array_contains(h, F.shiftright(x, PLACE_BITS)))
-        return F.zip_with(in_a, in_b, lambda x, y: place(y) - place(x))  # both in ascending order of the same hashes
+    def runs(d: Column) -> Column:
+        first = F.filter(F.transform(d, lambda v, j: F.when((j == 0) | (v != F.get(d, j - 1)), j)), lambda j: j.isNotNull())
+        lengths = lambda f: F.zip_with(f, F.slice(f, 2, F.size(f)), lambda j, k: F.struct(j - F.coalesce(k, F.size(d)), F.get(d, j).alias("by")))
+        return _let(first, lengths)
 
-    counted = _let(_let(there, of), lambda d: F.transform(F.array_distinct(d), lambda v: F.struct(-F.size(F.filter(d, lambda x: x == v)), v.alias("by"))))
-    return F.array_min(counted)["by"]
+    return F.array_min(_let(found, runs))["by"]
 
 
 def to_string(print_: Column) -> Column:
@@ -117,10 +124,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     columns do not matter.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = with_next(rows.withColumn("print", fingerprint(F.col("text"))), "text", "print")
+    rows = with_next(rows, "text").withColumn("anchors", anchors_of(F.col("text"))).withColumn("next_anchors", anchors_of(F.col("next_text")))
     n = F.char_length("text")
     cut = n - F.floor(n / 2).cast("int")
     rows = rows.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.substring("text", F.lit(1), cut), F.substring("next_text", F.lit(1), n - cut)))
-    rows = rows.withColumn("edited_sha256", F.sha2("edited", 256)).withColumn("edited_print", fingerprint(F.col("edited")))
-    a, b, c = (F.col(x) for x in ("print", "edited_print", "next_print"))
-    return rows.select("doc_id", "n_chars", "edited_sha256", to_string(a).alias("fingerprint"), to_string(b).alias("edited_fingerprint"), likeness(a, b).alias("near_edited"), likeness(a, c).alias("near_next"), shift(a, b).alias("shift_edited"))
+    rows = rows.withColumn("edited_sha256", F.sha2("edited", 256)).withColumn("edited_anchors", anchors_of(F.col("edited")))
+    a, b, c = (F.col(x) for x in ("anchors", "edited_anchors", "next_anchors"))
+    return rows.select("doc_id", "n_chars", "edited_sha256", to_string(F.slice(a, 1, SIZE)).alias("fingerprint"), to_string(F.slice(b, 1, SIZE)).alias("edited_fingerprint"), likeness(a, b).alias("near_edited"), likeness(a, c).alias("near_next"), shift(a, b).alias("shift_edited"))

@@ -70,3 +70,21 @@ def test_likeness_and_shift(spark, prints):
     h = [{x >> 24 for x in p} for p in (a, b)]
     least = set(sorted(h[0] | h[1])[: P.SIZE])
     assert r.ab == pytest.approx(len(h[0] & h[1] & least) / len(least))
+
+
+def test_long_texts_are_compared_whole(spark, docs_of):
+    """A passage that two long texts share is found, and the likeness counts all anchors."""
+    from collections import Counter
+
+    passage = [f"p{i}" for i in range(100)]
+    a, b = ([*(f"{x}{i}" for i in range(k)), *passage, *(f"{x}{i}" for i in range(k, 8000))] for x, k in (("a", 3000), ("b", 5000)))
+    df = spark.createDataFrame([(" ".join(a), " ".join(b))], "a string, b string").select(P.anchors_of(F.col("a")).alias("a"), P.anchors_of(F.col("b")).alias("b"))
+    r = df.select("a", "b", P.likeness(F.col("a"), F.col("b")).alias("like"), P.shift(F.col("a"), F.col("b")).alias("by")).first()
+    x, y = ({v >> 24: v & 0xFFFFFF for v in p} for p in (r.a, r.b))
+    common = x.keys() & y.keys()
+    assert len(x) > 2000 and len(common) > 20
+    assert r.like == pytest.approx(len(common) / len(x.keys() | y.keys())) and r.by == 2000
+    n = Counter(y[h] - x[h] for h in common)
+    assert n.most_common(1)[0][0] == r.by
+    got = {r.doc_id: r.near_next for r in P.fingerprints(docs_of([(1, " ".join(a)), (2, " ".join(b))])).collect()}
+    assert got[1] == pytest.approx(r.like)
