@@ -337,7 +337,9 @@ def jaccard_components(docs: DataFrame, words: int = 4, share: int = 85) -> Data
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = written(docs.mapInArrow(digest, "doc_id long, n_shingles long, node long, node_hi long"))
     nodes = durable(rows.where("node is not null and doc_id is not null").groupBy("node", "node_hi").agg(F.min("doc_id").alias("doc_id")).select("node", "doc_id"))
-    lists = written(list_pairs(prefix_index(docs, words, share, *frequent_shingles(docs, words)), share))
+    # A text that only rows without a doc_id hold is no node, so it must not lead a list.
+    named = docs.where("doc_id is not null")
+    lists = written(list_pairs(prefix_index(named, words, share, *frequent_shingles(named, words)), share))
     member = lists.where("kind = 1").select("token", F.col("a").alias("node"), F.col("b").alias("pivot"), "size", "place")
     # Pivots of the parts of a list that was dealt out meet the list's first pivot.
     pivots = member.where("node = pivot").select("token", "node", "size", "place")

@@ -62,6 +62,17 @@ def test_components_are_exact(docs_of, monkeypatch, seed, k, share):
     assert got == brute(rows, k, share)
 
 
+def test_a_null_id_leads_no_list(docs_of):
+    rows = []
+    for null_at in range(7):  # each of a group's seven texts is once the one without an id
+        words = [f"g{null_at}w{i}" for i in range(60)]
+        rows += [(None if k == null_at else null_at * 10 + k, " ".join([*words, f"end{k}"])) for k in range(7)]
+    got = sorted(map(tuple, jaccard_components(docs_of(rows)).collect()), key=str)
+    want = brute([x for x in rows if x[0] is not None], 4, 85)
+    assert len({c for _, _, c in want}) == 7
+    assert got == sorted([*want, *[(None, 58, None)] * 7], key=str)
+
+
 def test_nulls_repeats_and_no_rows(docs_of):
     rows = [(5, "a b c d e"), (2, "a b c d e"), (2, "v w x y z"), (9, "v w x y z"), (None, "a b c d e"), (3, None), (3, None)]
     got = sorted(map(tuple, jaccard_components(docs_of(rows)).collect()), key=str)
