@@ -76,19 +76,31 @@ def _is_iban(x: str) -> bool:
     return 15 <= len(code) <= 34 and mod97(code)
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Account numbers; of a match that fails, ends at its spaces are tried too, as a word may follow the number."""
+    m = _IBAN.search(text)
+    while m:
+        a, b = m.span()
+        ends = [b, *(i for i in range(b - 1, a, -1) if text[i] == " ")]
+        end = next((e for e in ends if _is_iban(text[a:e])), None)
+        if end:
+            yield a, end
+        m = _IBAN.search(text, end or a + 1)
+
+
 _CONFIRMED = {
     "ip": (_IP, lambda x: all(map(_byte, x.split(".")))), "card": (_CARD, _is_card),
-    "phone": (_PHONE, lambda x: 8 <= len(_digits(x)) <= 15), "iban": (_IBAN, _is_iban),
+    "phone": (_PHONE, lambda x: 8 <= len(_digits(x)) <= 15),
 }
 
 
 def find_spans(text: str) -> list[tuple[str, int, int]]:
     """Confirmed (kind, start, end) spans by kind, then start: code points, end exclusive."""
     found = [("email", a, b) for a, b in _emails(text)]
-    for kind in (*BASE[1:], *ADDED):
+    for kind in BASE[1:]:
         pattern, confirm = _CONFIRMED[kind]
         found += [(kind, *m.span()) for m in pattern.finditer(text) if confirm(m[0])]
-    return found
+    return found + [("iban", a, b) for a, b in _ibans(text)]
 
 
 def context_score(text: str, kind: str, start: int, end: int) -> float:

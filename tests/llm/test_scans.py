@@ -74,3 +74,10 @@ def test_licences(docs_of):
     by = {x.doc_id: x for x in scan_licences(docs_of(rows)).collect()}
     assert by[72].labels == "mit" and by[72].base_labels == "" and 0.5 < by[72].score <= 1 and by[70].score == 0
     assert scan_licences(docs_of([])).count() == 0
+
+
+def test_account_numbers_before_words():
+    for number in ("BE68 5390 0754 7034", "BE68539007547034", "ES91 2100 0418 4502 0005 1332", "AT61 1904 3002 3457 3201", "GB82 WEST 1234 5698 7654 32"):
+        for after in ("", " BIC GKCCBEBB", " BIC", ".", " DE89 3704 0044 0532 0130 00"):
+            spans = [s for s in find_spans(f"to {number}{after}") if s[0] == "iban"]
+            assert spans[0] == ("iban", 3, 3 + len(number)) and len(spans) == 1 + ("DE89" in after), (number, after)
