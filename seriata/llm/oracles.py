@@ -17,18 +17,21 @@ FROM j GROUP BY doc_id
 
 _WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
 
-#: Every window that a shared shingle aligns with an item, by exact similarity.
+#: Every window between the first and the last shared shingle, by exact similarity; an item of fewer than five words is one shingle.
 OP5 = f"""
 WITH d AS (SELECT DISTINCT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL),
 b AS (SELECT DISTINCT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
-ds AS (SELECT doc_id, len(w) AS n, i, array_to_string(w[i + 1 : i + 5], ' ') AS s FROM (SELECT *, unnest(range(0, len(w) - 4)) AS i FROM d WHERE len(w) >= 5)),
-bs AS (SELECT item_id, len(w) AS l, i AS o, array_to_string(w[i + 1 : i + 5], ' ') AS s FROM (SELECT *, unnest(range(0, len(w) - 4)) AS i FROM b WHERE len(w) >= 5)),
-hit AS (SELECT DISTINCT doc_id, item_id, l, greatest(0, least(i - o, n - l)) AS st FROM ds JOIN bs USING (s)),
-a AS (SELECT doc_id, item_id, st, ds.s, count(*) AS n FROM hit JOIN ds USING (doc_id) WHERE ds.i >= st AND ds.i <= st + l - 5 GROUP BY ALL),
-c AS (SELECT doc_id, item_id, st, bs.s, count(*) AS n FROM hit JOIN bs USING (item_id) GROUP BY ALL),
+bk AS (SELECT item_id, w, least(len(w), 5) AS k, len(w) - least(len(w), 5) + 1 AS l FROM b WHERE len(w) > 0),
+ds AS (SELECT doc_id, w, k, len(w) - k + 1 AS n, i, array_to_string(w[i + 1 : i + k], ' ') AS s FROM (SELECT *, unnest(range(0, len(w) - k + 1)) AS i FROM d, (SELECT DISTINCT k FROM bk) WHERE len(w) >= k)),
+bs AS (SELECT item_id, w AS v, k, l, array_to_string(w[o + 1 : o + k], ' ') AS s FROM (SELECT *, unnest(range(0, l)) AS o FROM bk)),
+hit AS (SELECT doc_id, w, item_id, v, k, l, any_value(n) AS n, min(i) AS lo, max(i) AS hi FROM ds JOIN (SELECT DISTINCT * FROM bs) USING (k, s)
+        GROUP BY ALL HAVING count(DISTINCT i) >= (least(l, any_value(n)) + l) * 0.8 / 1.8 - 0.000001),
+st AS (SELECT *, unnest(range(greatest(0, lo - l + 1), greatest(0, least(hi, n - l)) + 1)) AS st FROM hit),
+a AS (SELECT doc_id, w, item_id, v, st, ds.s, count(*) AS n FROM st JOIN ds USING (doc_id, w, k) WHERE ds.i >= st AND ds.i < st + l GROUP BY ALL),
+c AS (SELECT doc_id, w, item_id, v, st, bs.s, count(*) AS n FROM st JOIN bs USING (item_id, v) GROUP BY ALL),
 j AS (SELECT coalesce(a.doc_id, c.doc_id) AS doc_id, coalesce(a.item_id, c.item_id) AS item_id, coalesce(a.st, c.st) AS st,
              sum(least(coalesce(a.n, 0), coalesce(c.n, 0))) / sum(greatest(coalesce(a.n, 0), coalesce(c.n, 0))) AS sim
-      FROM a FULL JOIN c ON a.doc_id = c.doc_id AND a.item_id = c.item_id AND a.st = c.st AND a.s = c.s GROUP BY 1, 2, 3)
+      FROM a FULL JOIN c ON a.doc_id = c.doc_id AND a.w = c.w AND a.item_id = c.item_id AND a.v = c.v AND a.st = c.st AND a.s = c.s GROUP BY 1, 2, 3, coalesce(a.w, c.w), coalesce(a.v, c.v))
 SELECT doc_id, item_id, CAST(arg_min(st, struct_pack(x := -sim, y := st)) AS BIGINT) AS start, CAST(max(sim) AS DOUBLE) AS similarity
 FROM j WHERE sim >= 0.8 GROUP BY doc_id, item_id
 """
