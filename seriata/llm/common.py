@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,18 +18,37 @@ from pyspark.sql import DataFrame, SparkSession
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
+#: Rows of one Arrow batch, unless the session has a number of its own: texts are long, and workers hold two batches at a time.
+BATCH_ROWS = 2000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder, by Spark's own reader, so any store works."""
+    if spark.conf.get(_ROWS) == "10000":
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only where the session has none."""
+    """The folder that driver and executors share: the session's. Only where all run in one process is one made if it has none."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     jsc = spark.sparkContext._jsc.sc()
     if not there and jsc.getCheckpointDir().isDefined():
         there = jsc.getCheckpointDir().get()
-    return there or tempfile.mkdtemp(prefix="seriata-")
+    if not there and not jsc.isLocal():
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not there:
+        there = tempfile.mkdtemp(prefix="seriata-")
+        spark.conf.set("spark.checkpoint.dir", there)
+    return there
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Deletes a written folder when the driver ends, if its session still runs."""
+    if spark.sparkContext._jsc is not None:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -41,6 +63,7 @@ def durable(df: DataFrame) -> DataFrame:
 def written(df: DataFrame, *partition_by: str) -> DataFrame:
     """The rows written as Parquet in the shared folder and read again: columns are pruned on later reads."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/seriata-{uuid.uuid4().hex}"
+    atexit.register(_remove, df.sparkSession, path)
     df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path) if not partition_by else df.sparkSession.read.parquet(path)
 
@@ -50,6 +73,35 @@ def ranges(spark: SparkSession, times: int = 1) -> int:
     return times * max(32, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+try:
+    _trim_heap = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim_heap = None
+
+
+def trim() -> None:
+    """Gives memory that is free back to the system: a worker lives on through many stages, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if _trim_heap:
+        _trim_heap(0)
+
+
+def lean(work: Callable) -> Callable:
+    """A function over Arrow batches that gives free memory back after each batch and at its end."""
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch
+            trim()
+
+    @functools.wraps(work)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(trimmed(batches))
+        trim()
+
+    return run
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int | str = 1, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about size bytes of the text column, so work space does not follow Arrow's batch size."""
     for batch in batches:

@@ -5,19 +5,22 @@ texts hold a shingle is counted over the whole corpus; the frequent ones are
 told to all workers, a bounded table), and each node puts the shingles of its
 prefix into an inverted index: two linked nodes share one.
 
-Skipping works on two levels. In the index, entries of a list stand by position
-and size, so blocks that cannot reach the overlap are skipped. Between sets,
-answers are derived from those of a similar set: in a list of more than SHORT
-entries every entry is at first only compared with the list's pivot, the entry
-whose rare shingles are fewest. Whatever links to the pivot has the pivot's
-component; only entries whose component still differs from the pivot's meet
-the rest of their list, and only entries of other components there.
+Skipping works on two levels. In the index, a list is cut into blocks of like
+positions, in each of which sizes ascend; a block whose sizes and remainders
+cannot reach the overlap with an entry is skipped whole, before any of its
+entries is looked at. Between sets, answers are derived from those of a similar
+set: in a list of more than SHORT entries every entry is at first only compared
+with the list's pivot, the entry whose rare shingles are fewest. Whatever links
+to the pivot has the pivot's component; only entries whose component still
+differs from the pivot's meet the rest of their list, and only entries of other
+components there. Long lists are dealt out in both steps.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -28,13 +31,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, durable, mix64, ragged, ranges, slices, written
+from .common import LOWER, durable, lean, mix64, ragged, ranges, slices, trim, written
 
 SHORT = 4
 FREQUENT = 48
 MOST_FREQUENT = 4_000_000
 CELL_BITS = 40
 SUBLIST = 4096
+#: Blocks of positions in a list, and how many blocks are looked at in one step.
+BLOCKS = 64
+MOST_BLOCKS = 1 << 20
 #: Odd multipliers of a word's place in its shingle.
 _PLACES = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
@@ -77,14 +83,29 @@ def set_id(s: np.ndarray) -> tuple[int, int]:
     return int(d[0]), int(d[1])
 
 
-def _distinct(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[list[tuple[int, np.ndarray]]]:
-    """(set id, set) of the different sets that are not empty, per batch of rows: copies are put together before any shuffle."""
+@dataclass(frozen=True)
+class Names:
+    """64-bit names of sets: the first half of their 128 bits, or the second half where two sets of the corpus share the first."""
+
+    bits: int = 64
+    clashes: frozenset[int] = frozenset()
+
+    def first(self, half: int) -> int:
+        return half >> (64 - self.bits)
+
+    def of(self, s: np.ndarray) -> int:
+        a, b = set_id(s)
+        return b if self.first(a) in self.clashes else self.first(a)
+
+
+def _distinct(batches: Iterator[pa.RecordBatch], words: int, names: Names) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """(name, set) of the different sets that are not empty, per batch of rows: copies are put together before any shuffle."""
     for batch in batches:
         seen: dict[int, None] = {}
         for part in slices(iter([batch]), 0):
             found = []
             for s in shingle_sets(part.column(0), words):
-                if len(s) and (i := set_id(s)[0]) not in seen:
+                if len(s) and (i := names.of(s)) not in seen:
                     seen[i] = None
                     found.append((i, s))
             if found:
@@ -108,21 +129,40 @@ def _cuts(sorted_: np.ndarray, parts: int, bits: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(sorted_, edges), [len(sorted_)]])
 
 
-def frequent_shingles(docs: DataFrame, words: int, most: int = MOST_FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """Cells (leading bits of hashes) that at least FREQUENT sets fall in, ascending, and their levels (log2 of the count).
+READ = "doc_id long, n_shingles long, node long, node_hi long, part int, cells binary, n binary"
 
-    All shingles of the corpus are counted. If more than most cells are
-    frequent, the lowest levels are left out: that only makes lists longer.
+
+def read_sets(docs: DataFrame, words: int, bits: int = 64) -> DataFrame:
+    """All texts read once, written: a row per document (doc_id, n_shingles, node, node_hi), and rows that count cells of shingles (part, cells, n).
+
+    Cells are leading bits of hashes; of equal texts in one slice one counts.
+    Rows without a doc_id are not counted.
     """
-    parts = ranges(docs.sparkSession, 2)
+    parts, names = ranges(docs.sparkSession, 2), Names(bits)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in _distinct(batches, words):
-            cells, n = np.unique(np.concatenate([s for _, s in found]) >> np.uint64(64 - CELL_BITS), return_counts=True)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = shingle_sets(batch.column(1), words)
+            ids = [set_id(s) if len(s) else (None, None) for s in sets]
+            own = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([i if i is None else names.first(i) for i, _ in ids], pa.int64()), pa.array([j for _, j in ids], pa.int64())]
+            counted = list({i: s for i, s, d in zip(ids, sets, batch.column(0).is_valid().to_pylist(), strict=True) if d and len(s)}.values())
+            cells, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *counted]) >> np.uint64(64 - CELL_BITS), return_counts=True)
             cuts = _cuts(cells, parts, CELL_BITS)
             some = [k for k in range(parts) if cuts[k] < cuts[k + 1]]
             blobs = [(_planes(np.diff(cells[cuts[k] : cuts[k + 1]], prepend=np.uint64(0))), _planes(n[cuts[k] : cuts[k + 1]])) for k in some]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([a for a, _ in blobs], pa.binary()), pa.array([b for _, b in blobs], pa.binary())], ["part", "cells", "n"])
+            none = lambda k, n: [pa.nulls(n, t) for t in [pa.int64()] * 4 + [pa.int32(), pa.binary(), pa.binary()]][k]
+            yield pa.RecordBatch.from_arrays([*own, *(none(k, batch.num_rows) for k in (4, 5, 6))], [x.split()[0] for x in READ.split(", ")])
+            yield pa.RecordBatch.from_arrays([*(none(k, len(some)) for k in range(4)), pa.array(some, pa.int32()), pa.array([a for a, _ in blobs], pa.binary()), pa.array([b for _, b in blobs], pa.binary())], [x.split()[0] for x in READ.split(", ")])
+
+    return written(docs.mapInArrow(lean(read), READ))
+
+
+def frequent_shingles(read: DataFrame, most: int = MOST_FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """Cells that at least FREQUENT sets fall in, ascending, and their levels (log2 of the count).
+
+    All shingles of the corpus are counted. If more than most cells are
+    frequent, the lowest levels are left out: that only makes lists longer.
+    """
 
     def add_up(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         cells = np.concatenate([np.cumsum(_unplanes(x), dtype=np.uint64) for x in pdf.cells])
@@ -134,9 +174,10 @@ def frequent_shingles(docs: DataFrame, words: int, most: int = MOST_FREQUENT) ->
         keep = total >= FREQUENT
         level = np.log2(np.maximum(total, 1)).astype(np.int64)
         rows = [(lv, int((keep & (level == lv)).sum()), _planes(cells[first][keep & (level == lv)])) for lv in np.unique(level[keep])]
+        trim()
         return pd.DataFrame(rows, columns=["level", "n", "cells"])
 
-    counted = durable(docs.select(F.col("text").cast("string")).mapInArrow(count, "part int, cells binary, n binary").groupBy("part").applyInPandas(add_up, "level int, n long, cells binary"))
+    counted = durable(read.where("part is not null").select("part", "cells", "n").groupBy("part").applyInPandas(add_up, "level int, n long, cells binary"))
     left, least = most, 64
     for r in counted.groupBy("level").agg(F.sum("n").alias("n")).orderBy(F.desc("level")).collect():  # a row per power of two
         left -= r.n
@@ -152,14 +193,14 @@ def frequent_shingles(docs: DataFrame, words: int, most: int = MOST_FREQUENT) ->
 
 
 # ---------------------------------------------------------------- the index
-def prefix_index(docs: DataFrame, words: int, share: int, cells: np.ndarray, levels: np.ndarray) -> DataFrame:
+def prefix_index(docs: DataFrame, words: int, share: int, names: Names, cells: np.ndarray, levels: np.ndarray) -> DataFrame:
     """(part, postings): runs of prefix shingles with node, size and position; a frequent shingle's list is dealt over several parts."""
     parts = ranges(docs.sparkSession, 4)
     box = docs.sparkSession.sparkContext.broadcast((cells, levels))  # at most MOST_FREQUENT cells
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, levels = box.value
-        for found in _distinct(batches, words):
+        for found in _distinct(batches, words, names):
             size = np.array([len(s) for _, s in found])
             tokens, node = np.concatenate([s for _, s in found]), np.repeat(np.array([i for i, _ in found], np.int64), size)
             doc = np.repeat(np.arange(len(found)), size)
@@ -183,7 +224,7 @@ def prefix_index(docs: DataFrame, words: int, share: int, cells: np.ndarray, lev
             columns = [(np.diff(token[o], prepend=np.uint64(0)), node[o].view(np.uint64), sizes[o], place[o], spread[o]) for k in some for o in [order[bounds[k] : bounds[k + 1]]]]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([_planes(np.concatenate([c.astype(np.uint64) for c in cs])) for cs in columns], pa.binary())], ["part", "postings"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(index, "part int, postings binary")
+    return docs.select(F.col("text").cast("string")).mapInArrow(lean(index), "part int, postings binary")
 
 
 def _may_link(sa, pa_, sb, pb, share: int):
@@ -191,6 +232,40 @@ def _may_link(sa, pa_, sb, pb, share: int):
     return (100 + share) * np.minimum(sa - pa_, sb - pb) >= share * (sa + sb)
 
 
+@dataclass
+class Lists:
+    """Entries by list, in blocks of like positions, sizes ascending in each; what the largest remainder and the smallest size of a block are."""
+
+    size: np.ndarray
+    place: np.ndarray
+    blocks: np.ndarray  # where blocks begin, and the end
+
+    @classmethod
+    def of(cls, group: np.ndarray, size: np.ndarray, place: np.ndarray) -> Lists:
+        """group: ascending numbers of lists; within each, entries by position (place * BLOCKS // size), then size."""
+        at = place * BLOCKS // size
+        new = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (at[1:] != at[:-1])])) if len(group) else np.zeros(0, np.int64)
+        return cls(size, place, np.append(new, len(group)))
+
+    def pairs(self, x: np.ndarray, first: np.ndarray, last: np.ndarray, size: np.ndarray, place: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray]:
+        """(x, y): each x (an entry of this size and place) with the entries y of blocks first..last that may link. Blocks that cannot are skipped."""
+        if not len(x) or len(self.blocks) < 2:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        least, rest = np.minimum.reduceat(self.size, self.blocks[:-1]), np.maximum.reduceat(self.size - self.place, self.blocks[:-1])
+        out = []
+        steps = np.cumsum(last - first) // MOST_BLOCKS  # so many blocks at a time, for bounded work space
+        for k in np.unique(steps):
+            on = np.flatnonzero(steps == k)
+            block, who = ragged(first[on], (last - first)[on]), np.repeat(on, (last - first)[on])
+            ok = (100 + share) * np.minimum(rest[block], (size - place)[who]) >= share * (least[block] + size[who])
+            block, who = block[ok], who[ok]
+            n = self.blocks[block + 1] - self.blocks[block]
+            y, who = ragged(self.blocks[block], n), np.repeat(who, n)
+            ok = _may_link(size[who], place[who], self.size[y], self.place[y], share)
+            out.append((x[who[ok]], y[ok]))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
 def list_pairs(index: DataFrame, share: int) -> DataFrame:
     """(kind, token, a, b, size, place): kind 0: compare nodes a and b. kind 1: a stands in a long list, with pivot b there."""
 
@@ -198,7 +273,7 @@ def list_pairs(index: DataFrame, share: int) -> DataFrame:
         blocks = [_unplanes(x).reshape(5, -1) for x in pdf.postings]
         token = np.concatenate([np.cumsum(b[0], dtype=np.uint64) for b in blocks])
         node, size, place, spread = (np.concatenate([b[k] for b in blocks]).view(np.int64) for k in range(1, 5))
-        order = np.lexsort((node, place * 64 // size, spread, token))  # a list by blocks of positions; its first entry is the pivot
+        order = np.lexsort((node, size, place * BLOCKS // size, spread, token))  # a list by blocks of positions; its first entry is the pivot
         token, node, size, place, spread = token[order], node[order], size[order], place[order], spread[order]
         fresh = np.ones(len(token), bool)
         fresh[1:] = (token[1:] != token[:-1]) | (spread[1:] != spread[:-1]) | (node[1:] != node[:-1])
@@ -215,19 +290,52 @@ def list_pairs(index: DataFrame, share: int) -> DataFrame:
                     out.append((np.zeros(ok.sum(), np.int32), token[x[ok]], node[x[ok]], node[y[ok]], size[x[ok]], place[x[ok]]))
         long = (length > SHORT) | (spread[starts] > 0)
         n, s = length[long], starts[long]
-        member, pivot = ragged(s, n), np.repeat(s, n)
-        ok = _may_link(size[member], place[member], size[pivot], place[pivot], share) & (member != pivot)
+        lists = Lists.of(np.repeat(np.arange(len(starts)), length), size, place)
+        pivot, member = lists.pairs(s, np.searchsorted(lists.blocks, s), np.searchsorted(lists.blocks, s + n), size[s], place[s], share)
+        ok = member != pivot
         out.append((np.zeros(ok.sum(), np.int32), token[member[ok]], node[pivot[ok]], node[member[ok]], size[member[ok]], place[member[ok]]))
+        member, pivot = ragged(s, n), np.repeat(s, n)
         out.append((np.ones(len(member), np.int32), token[member], node[member], node[pivot], size[member], place[member]))
         kind, token, a, b, size, place = (np.concatenate(c) for c in zip(*out, strict=True))
         pair = pd.DataFrame({"kind": kind, "token": token.view(np.int64), "a": a, "b": b, "size": size.astype(np.int32), "place": place.astype(np.int32)})
         compared = pair[pair.kind == 0]
         low, high = np.minimum(compared.a, compared.b), np.maximum(compared.a, compared.b)
+        trim()
         return pd.concat([compared.assign(a=low, b=high).drop_duplicates(["a", "b"]), pair[pair.kind == 1]])
 
     return index.groupBy("part").applyInPandas(join, "kind int, token long, a long, b long, size int, place int")
 
 
+def rest_pairs(told: DataFrame, share: int) -> DataFrame:
+    """(a, b): entries of lists that are apart from their pivot's component, with those entries of other components that may link.
+
+    told: token, node, size, place, label, apart. A list is dealt over groups of
+    about SUBLIST entries on either side, so no task holds a long one whole.
+    """
+    n = told.groupBy("token").agg(F.count("*").alias("n"), F.sum(F.col("apart").cast("int")).alias("n_apart"))
+    deal = lambda c: F.ceil(F.col(c) / SUBLIST).cast("int")
+    sized = told.join(n.select("token", deal("n").alias("rows"), deal("n_apart").alias("cols")), "token")
+    some = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    left = sized.where("apart").withColumn("col", some("cols")).select("token", "col", every("rows").alias("row"), "node", "size", "place", "label", F.lit(True).alias("asks"))
+    right = sized.withColumn("row", some("rows")).select("token", every("cols").alias("col"), "row", "node", "size", "place", "label", F.lit(False).alias("asks"))
+
+    def join(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        size, place = pdf["size"].to_numpy().astype(np.int64), pdf["place"].to_numpy().astype(np.int64)
+        order = np.lexsort((size, place * BLOCKS // size))
+        node, label, size, place, asks = pdf.node.to_numpy()[order], pdf.label.to_numpy()[order], size[order], place[order], pdf.asks.to_numpy()[order]
+        x, y = np.flatnonzero(asks), np.flatnonzero(~asks)
+        lists = Lists.of(np.zeros(len(y), np.int64), size[y], place[y])
+        a, b = lists.pairs(x, np.zeros(len(x), np.int64), np.full(len(x), len(lists.blocks) - 1), size[x], place[x], share)
+        b = y[b]
+        ok = label[a] != label[b]
+        low, high = np.minimum(node[a[ok]], node[b[ok]]), np.maximum(node[a[ok]], node[b[ok]])
+        trim()
+        return pd.DataFrame({"a": low, "b": high}).drop_duplicates()
+
+    return left.unionByName(right).groupBy("token", "col", "row").applyInPandas(join, "a long, b long").distinct()
+
+
 # ---------------------------------------------------------------- comparing
 BLOOM_BITS = 25
 
@@ -240,9 +348,8 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """
     spot = lambda k: F.pmod(F.xxhash64(F.lit(k), "doc_id"), F.lit(1 << BLOOM_BITS))
     bits = wanted.select(F.explode(F.array(spot(1), spot(2))).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
-    table = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
-    for r in bits.toLocalIterator():  # at most as many rows as the filter has words
-        table[r.word] = r.bits
+    table, found = np.zeros(1 << (BLOOM_BITS - 6), np.int64), bits.toArrow()  # at most as many rows as the filter has words
+    table[found.column("word").to_numpy()] = found.column("bits").to_numpy()
     box = docs.sparkSession.sparkContext.broadcast(table)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,11 +361,11 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             blobs = [squeeze.compress((x.as_py() or "").encode()) for x in part.column(1)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blobs, pa.binary())], ["doc_id", "blob"])
 
-    rows = docs.where("doc_id is not null").select("doc_id", "text", spot(1).alias("s1"), spot(2).alias("s2")).mapInArrow(keep, "doc_id long, blob binary")
+    rows = docs.where("doc_id is not null").select("doc_id", "text", spot(1).alias("s1"), spot(2).alias("s2")).mapInArrow(lean(keep), "doc_id long, blob binary")
     return rows.join(wanted, "doc_id")
 
 
-def linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, share: int) -> DataFrame:
+def linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, share: int, names: Names) -> DataFrame:
     """(a, b): those pairs of nodes whose sets are similar enough, by their whole sets.
 
     A node that is compared with many meets them in several groups, each with
@@ -283,9 +390,9 @@ def linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, shar
             a, b = [], []
             for hub, group, node, s in zip(*(batch.column(k).to_pylist() for k in range(3)), sets, strict=True):
                 if node is None:
-                    if set_id(s)[0] == hub:  # another text of a repeated doc_id is not meant
+                    if len(s) and names.of(s) == hub:  # another text of a repeated doc_id is not meant
                         at, held = (hub, group), s
-                elif at == (hub, group) and set_id(s)[0] == node:
+                elif at == (hub, group) and len(s) and names.of(s) == node:
                     common = len(np.intersect1d(held, s, assume_unique=True))
                     if 100 * common >= share * (len(held) + len(s) - common):
                         a.append(min(hub, node))
@@ -293,7 +400,7 @@ def linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, shar
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     together = with_text.unionByName(hubs).repartition("hub", "group").sortWithinPartitions("hub", "group", F.col("node").asc_nulls_first())
-    return together.mapInArrow(compare, "a long, b long").distinct()
+    return together.mapInArrow(lean(compare), "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -317,7 +424,17 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
-def jaccard_components(docs: DataFrame, words: int = 4, share: int = 85) -> DataFrame:
+def _named(read: DataFrame, bits: int) -> tuple[DataFrame, Names]:
+    """The documents' rows with one 64-bit name per different set. Sets that share their first halves are so few that their names fit the driver."""
+    rows = read.where("part is null").select("doc_id", "n_shingles", "node", "node_hi")
+    clashes = rows.where("node is not null").groupBy("node").agg(F.min("node_hi").alias("lo"), F.max("node_hi").alias("hi")).where("lo <> hi").select("node")
+    names = Names(bits, frozenset(r.node for r in clashes.collect()))
+    if names.clashes:
+        rows = rows.withColumn("node", F.when(F.col("node").isin(sorted(names.clashes)), F.col("node_hi")).otherwise(F.col("node")))
+    return rows.drop("node_hi"), names
+
+
+def jaccard_components(docs: DataFrame, words: int = 4, share: int = 85, name_bits: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs.
 
     Two documents link when 100 * |intersection| >= share * |union| of their
@@ -325,29 +442,27 @@ def jaccard_components(docs: DataFrame, words: int = 4, share: int = 85) -> Data
     words than a shingle is one shingle; null texts and texts without words have
     no shingle and link with nothing. Rows that share a doc_id are one document:
     links of either text count for it. A null doc_id links with nothing and has
-    a null component. Other columns do not matter.
+    a null component. Very long texts are read whole, one at a time; an empty
+    table gives an empty one. Other columns do not matter. name_bits: bits of
+    sets' first names, fewer only in tests.
     """
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sets = shingle_sets(batch.column(1), words)
-            ids = [set_id(s) if len(s) else (None, None) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([i for i, _ in ids], pa.int64()), pa.array([j for _, j in ids], pa.int64())], ["doc_id", "n_shingles", "node", "node_hi"])
-
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = written(docs.mapInArrow(digest, "doc_id long, n_shingles long, node long, node_hi long"))
-    nodes = durable(rows.where("node is not null and doc_id is not null").groupBy("node", "node_hi").agg(F.min("doc_id").alias("doc_id")).select("node", "doc_id"))
+    read = read_sets(docs, words, name_bits)
+    rows, names = _named(read, name_bits)
+    nodes = durable(rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
     # A text that only rows without a doc_id hold is no node, so it must not lead a list.
-    named = docs.where("doc_id is not null")
-    lists = written(list_pairs(prefix_index(named, words, share, *frequent_shingles(named, words)), share))
+    index = prefix_index(docs.where("doc_id is not null"), words, share, names, *frequent_shingles(read))
+    lists = written(list_pairs(index, share))
     member = lists.where("kind = 1").select("token", F.col("a").alias("node"), F.col("b").alias("pivot"), "size", "place")
     # Pivots of the parts of a list that was dealt out meet the list's first pivot.
     pivots = member.where("node = pivot").select("token", "node", "size", "place")
-    main = durable(pivots.groupBy("token").agg(F.min(F.struct((F.col("place") * 64 / F.col("size")).cast("int").alias("block"), "node")).alias("p")).select("token", F.col("p.node").alias("main")))
+    main = durable(pivots.groupBy("token").agg(F.min(F.struct((F.col("place") * BLOCKS / F.col("size")).cast("int").alias("block"), "size", "node")).alias("p")).select("token", F.col("p.node").alias("main")))
     meet = pivots.join(main, "token").where("node <> main").select(F.least("node", "main").alias("a"), F.greatest("node", "main").alias("b"))
-    first = durable(linked(lists.where("kind = 0").select("a", "b").unionByName(meet), nodes, docs, words, share))
+    first = durable(linked(lists.where("kind = 0").select("a", "b").unionByName(meet), nodes, docs, words, share, names))
+    doc = lambda side: nodes.select(F.col("node").alias(side), F.col("doc_id").alias(f"doc_{side}"))
     # Nodes whose doc_id is that of another node are one document.
-    by_doc = first.join(nodes.select(F.col("node").alias("a"), F.col("doc_id").alias("da")), "a").join(nodes.select(F.col("node").alias("b"), F.col("doc_id").alias("db")), "b").select(F.col("da").alias("a"), F.col("db").alias("b")).distinct()
+    of_docs = lambda links: links.join(doc("a"), "a").join(doc("b"), "b").select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct()
+    by_doc = of_docs(first)
     found = components(by_doc)
     label = nodes.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("node", F.coalesce("component", "doc_id").alias("label"))
     # Second level: entries whose component is not their pivot's, against the entries of other components. Lists of one component are done.
@@ -355,14 +470,10 @@ def jaccard_components(docs: DataFrame, words: int = 4, share: int = 85) -> Data
     mixed = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
     told = labelled.join(written(mixed), "token").join(main, "token").join(label.select(F.col("node").alias("main"), F.col("label").alias("main_label")), "main")
     told = written(told.select("token", "node", "size", "place", "label", (F.col("label") != F.col("main_label")).alias("apart")).distinct())
-    apart = told.where("apart").select("token", *(F.col(c).alias(f"{c}_x") for c in ("node", "size", "place", "label")))
-    overlap = F.least(F.col("size") - F.col("place"), F.col("size_x") - F.col("place_x"))
-    rest = apart.join(told, "token").where((F.col("label") != F.col("label_x")) & ((100 + share) * overlap >= share * (F.col("size") + F.col("size_x"))))
-    rest = durable(rest.select(F.least("node", "node_x").alias("a"), F.greatest("node", "node_x").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
+    rest = durable(rest_pairs(told, share).join(first, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        more = durable(linked(rest, nodes, docs, words, share))
-        by_doc = by_doc if more.isEmpty() else by_doc.unionByName(more.join(nodes.select(F.col("node").alias("a"), F.col("doc_id").alias("da")), "a").join(nodes.select(F.col("node").alias("b"), F.col("doc_id").alias("db")), "b").select(F.col("da").alias("a"), F.col("db").alias("b")))
-        found = found if more.isEmpty() else components(by_doc)
+        more = durable(linked(rest, nodes, docs, words, share, names))
+        found = found if more.isEmpty() else components(by_doc.unionByName(of_docs(more)))
     own = rows.join(nodes.withColumnRenamed("doc_id", "first_doc"), "node", "left")
     out = own.join(found.select(F.col("node").alias("first_doc"), "component"), "first_doc", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "first_doc", "doc_id")).alias("component_id"))

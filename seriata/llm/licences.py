@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean, slices
+
 #: Phrases whose every place counts, and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 #: Further templates as (label, template, its mandatory phrase).
@@ -93,13 +95,13 @@ def frequencies(docs: DataFrame) -> tuple[dict[bytes, int], int]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, rows = Counter(), 0
-        for batch in batches:
+        for batch in slices(batches, 0):
             rows += batch.num_rows
             for text in batch.column(0):
                 n.update(known.intersection(words_of(text.as_py())))
         yield pa.RecordBatch.from_arrays([pa.array([*(w.decode() for w in n), ""]), pa.array([*n.values(), rows], pa.int64())], ["word", "n"])
 
-    found = {r.word.encode(): r.n for r in docs.select(F.col("text").cast("string")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    found = {r.word.encode(): r.n for r in docs.select(F.col("text").cast("string")).mapInArrow(lean(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
     return found, found.pop(b"", 0)
 
 
@@ -116,7 +118,7 @@ def scan_licences(docs: DataFrame) -> DataFrame:
     index = Index(*frequencies(docs))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = words_of(text.as_py())
@@ -126,4 +128,4 @@ def scan_licences(docs: DataFrame) -> DataFrame:
             types = [*[pa.int64()] * 5, pa.string(), pa.string(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 8, types, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(scan), SCHEMA)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, durable, ranges
+from .common import LOWER, durable, lean, ranges
 
 SLOTS = 4
 MIN_CHARS = 10
@@ -144,7 +144,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def occurrences(docs: DataFrame) -> DataFrame:
     """(doc_id, version, hi, lo, shard): the key of every long enough line; version tells texts of one doc_id apart."""
-    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_occurrences, "doc_id long, version long, hi long, lo long")
+    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(_occurrences), "doc_id long, version long, hi long, lo long")
     return found.withColumn("shard", _shard(docs))
 
 
@@ -282,9 +282,9 @@ def dedup_lines(docs: DataFrame, store: LineStore | None = None) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     store = store or LineStore.empty(spark).insert(docs)
-    marked = docs.mapInArrow(_version, "doc_id long, text string, version long")
+    marked = docs.mapInArrow(lean(_version), "doc_id long, text string, version long")
     joined = marked.join(store.drops(), ["doc_id", "version"], "left").select("doc_id", "text", "keys")
-    return joined.mapInArrow(_cut, "doc_id long, n_lines long, n_dropped long, kept_text string")
+    return joined.mapInArrow(lean(_cut), "doc_id long, n_lines long, n_dropped long, kept_text string")
 
 
 def rewrite_documents(docs: DataFrame) -> DataFrame:
@@ -292,8 +292,8 @@ def rewrite_documents(docs: DataFrame) -> DataFrame:
     store = LineStore.empty(docs.sparkSession).insert(docs)
     kept = T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema if f.name != "text"), *T._parse_datatype_string("was_null boolean, version long, n_lines long, n_dropped long, kept_text string")])
     marked = docs.withColumn("was_null", F.col("text").isNull())
-    marked = marked.mapInArrow(_version, T.StructType([*marked.schema, T.StructField("version", T.LongType())]))
-    cut = marked.join(store.drops(), ["doc_id", "version"], "left").select(*[f.name for f in docs.schema if f.name != "text"], "was_null", "version", "text", "keys").mapInArrow(_cut, kept)
+    marked = marked.mapInArrow(lean(_version), T.StructType([*marked.schema, T.StructField("version", T.LongType())]))
+    cut = marked.join(store.drops(), ["doc_id", "version"], "left").select(*[f.name for f in docs.schema if f.name != "text"], "was_null", "version", "text", "keys").mapInArrow(lean(_cut), kept)
     text = F.when(F.col("was_null"), F.lit(None).cast("string")).otherwise(F.col("kept_text"))
     now = {"text": text, "n_chars": F.length("kept_text").cast("long")}
     return cut.select(*(now.get(c, F.col(c)).alias(c) for c in docs.columns))

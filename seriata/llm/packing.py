@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ragged, slices, written
+from .common import lean, ragged, slices, written
 from .tokens import Encoder, encode_ended, vocabulary
 
 MAX_TOKENS = 1024
@@ -87,7 +87,7 @@ def pieces(docs: DataFrame, path: str | None = None, end_id: int = END_ID, max_t
                 columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(ids.astype(np.int32)[ragged(at, length)])))
             yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(cut), schema)
 
 
 def pack(docs: DataFrame, path: str | None = None, end_id: int = END_ID, max_tokens: int = MAX_TOKENS, keep_ids: bool = False) -> DataFrame:

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean, slices
+
 #: The base kinds in the order of the result, then the kinds that the method adds.
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban",)
@@ -114,7 +116,7 @@ SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         columns: list[list] = [[] for _ in range(7)]
         for text in batch.column(1):
             text = text.as_py() or ""
@@ -135,7 +137,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     check confirms; the method adds bank accounts (mod 97). Null and empty texts
     have none; a null doc_id stays null; other columns do not matter.
     """
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_scan, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(_scan), SCHEMA)
 
 
 def redact(text: str, least: float = 0.5) -> str:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ranges, shared_dir, slices
+from .common import lean, ranges, shared_dir, slices
 from .tokens import Encoder, encode_ended, vocabulary
 
 END_ID = 0
@@ -100,7 +100,7 @@ def write_token_files(docs: DataFrame, to: str, path: str | None = None, end_id:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartitionByRange(ranges(docs.sparkSession), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    ordered.mapInArrow(encode, CHUNK_SCHEMA).write.mode("overwrite").parquet(f"{to}/chunks")
+    ordered.mapInArrow(lean(encode), CHUNK_SCHEMA).write.mode("overwrite").parquet(f"{to}/chunks")
     chunks = docs.sparkSession.read.schema(CHUNK_SCHEMA).parquet(f"{to}/chunks")
     sizes = chunks.groupBy("shard").agg(F.sum("n_ids").alias("n_ids"), F.count("*").alias("n_chunks"))  # a row per shard
     base = F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -124,7 +124,7 @@ def read_token_files(spark: SparkSession, to: str, block: int = BLOCK, ids: bool
 
     chunks = spark.read.schema(CHUNK_SCHEMA).parquet(f"{to}/chunks")
     manifest = spark.read.schema("shard int, n_ids long, n_chunks long, base long").parquet(f"{to}/manifest")
-    return chunks.join(F.broadcast(manifest.select("shard", "base")), "shard").mapInArrow(decode, schema)  # a manifest row per shard
+    return chunks.join(F.broadcast(manifest.select("shard", "base")), "shard").mapInArrow(lean(decode), schema)  # a manifest row per shard
 
 
 def token_files(docs: DataFrame, to: str | None = None, **how) -> DataFrame:

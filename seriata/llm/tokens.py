@@ -33,10 +33,14 @@ _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
+#: Bytes that a kept piece takes besides its letters and ids.
+ENTRY = 150
+
+
 class Encoder:
-    """Encodes Arrow arrays of texts; keeps at most cache_size distinct pieces."""
+    """Encodes Arrow arrays of texts; what it keeps of distinct pieces and words takes about cache_bytes."""
 
-    def __init__(self, path: str, cache_size: int = 300_000):
+    def __init__(self, path: str, cache_bytes: int = 32 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -44,7 +48,7 @@ class Encoder:
         added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.mark, self.mark_id = next(iter(added.items()), (None, -1))
         self.added = list(added)
-        self.cache_size = cache_size
+        self.cache_bytes, self.held, self.held_words = cache_bytes, 0, 0
         self.byte_level = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and not self.tokenizer.pre_tokenizer.add_prefix_space
         self.model = self.tokenizer.model
         self.words: dict[str, list[int]] = {}
@@ -66,13 +70,15 @@ class Encoder:
         self.starts[n : n + len(pieces)] = self.used + np.cumsum(counts) - counts
         self.used += len(ids)
         self.known.update(zip(pieces, range(n, n + len(pieces)), strict=True))
+        self.held += sum(map(len, pieces)) + ENTRY * len(pieces) + 4 * len(ids)
 
     def _word(self, word: str) -> list[int]:
         """Ids of what the pre-tokenizer leaves whole."""
         ids = self.words.get(word)
         if ids is None:
             ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_BYTES))]
-            if len(self.words) < self.cache_size // 2:
+            if self.held_words < self.cache_bytes // 2:
+                self.held_words += ENTRY + len(word) + 8 * len(ids)
                 self.words[word] = ids
         return ids
 
@@ -103,12 +109,14 @@ class Encoder:
             self._learn(new)
         return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
 
-    def _forget(self, rows: int, used: int) -> None:
+    def _forget(self, rows: int, used: int, held: int) -> None:
         """Back to what was known before, if there is more now than may be kept."""
-        if len(self.known) > self.cache_size:
-            for _ in range(len(self.known) - max(rows, 0)):
+        if self.held > self.cache_bytes // 2:
+            for _ in range(len(self.known) - rows):
                 self.known.popitem()
-            self.used = used
+            self.used, self.held = used, held
+            if self.used <= len(self.ids) // 4 and len(self.ids) > 1 << 20:  # room that one very long text took
+                self.ids = self.ids[: max(1 << 20, 2 * self.used)].copy()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other, and how many each text has; null texts are empty."""
@@ -124,7 +132,7 @@ class Encoder:
         first = np.zeros(len(values), bool)
         first[offsets[:-1]] = True
         rows = np.zeros(len(values), np.int64)
-        before, used = len(self.known), self.used
+        before, used, held = len(self.known), self.used, self.held
         for where, space in [(first, ""), (~first, " ")] if self.mark is not None else []:
             d = values.filter(pa.array(where)).dictionary_encode()
             names = d.dictionary.to_pylist()
@@ -132,7 +140,7 @@ class Encoder:
                 rows[where] = self._rows([space + x for x in names] if space else names)[d.indices.to_numpy()]
         counts = self.counts[rows]
         ids = self.ids[ragged(self.starts[rows], counts)]
-        self._forget(before, used)
+        self._forget(before, used, held)
         summed = np.concatenate([[0], np.cumsum(counts)])
         per_text = summed[offsets[1:]] - summed[offsets[:-1]]
         if alone.any():

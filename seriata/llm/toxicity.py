@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, mix64, ragged, slices
+from .common import LOWER, lean, mix64, ragged, slices
 
 FIT_ROWS = 4000
 FIT_CHARS = 16_000_000
@@ -365,7 +365,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
             score = net.score(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, "doc_id long, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(scan), "doc_id long, score double, predicted int")
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
@@ -378,4 +378,4 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
         for batch in slices(batches, at):
             yield batch.filter(pa.array(net.score(batch.column(at)) < 0.5))
 
-    return docs.mapInArrow(scan, docs.schema)
+    return docs.mapInArrow(lean(scan), docs.schema)

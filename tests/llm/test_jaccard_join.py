@@ -78,3 +78,27 @@ def test_nulls_repeats_and_no_rows(docs_of):
     got = sorted(map(tuple, jaccard_components(docs_of(rows)).collect()), key=str)
     assert got == sorted([(5, 2, 2), (2, 2, 2), (2, 2, 2), (9, 2, 2), (None, 2, None), (3, 0, 3), (3, 0, 3)], key=str)
     assert jaccard_components(docs_of([])).count() == 0
+
+
+def test_sets_whose_first_names_clash_are_told_apart(docs_of):
+    rows = corpus(3, 60)
+    got = sorted(map(tuple, jaccard_components(docs_of(rows), name_bits=3).collect()))
+    assert got == brute(rows, 4, 85)
+
+
+def test_blocks_are_skipped_only_where_nothing_links():
+    import numpy as np
+
+    from seriata.llm.jaccard_join import BLOCKS, Lists, _may_link
+
+    r = np.random.default_rng(5)
+    size = r.integers(1, 300, 400)
+    place = (r.random(400) * size * 0.3).astype(np.int64)
+    order = np.lexsort((size, place * BLOCKS // size))
+    size, place = size[order], place[order]
+    lists = Lists.of(np.zeros(400, np.int64), size, place)
+    every = np.arange(400)
+    x, y = lists.pairs(every, np.zeros(400, np.int64), np.full(400, len(lists.blocks) - 1), size, place, 85)
+    want = {(a, b) for a in range(400) for b in range(400) if _may_link(size[a], place[a], size[b], place[b], 85)}
+    assert set(zip(x.tolist(), y.tolist())) == want
+    assert len(want) < 400 * 400 / 4

@@ -23,7 +23,7 @@ def plain():
 
 
 def test_encoder_is_the_tokenizer(plain):
-    e = Encoder(vocabulary(), cache_size=6)
+    e = Encoder(vocabulary(), cache_bytes=2000)
     for texts in (ODD, ODD[::-1], [], [None]):
         ids, counts = e.encode(pa.array(texts, pa.string()))
         at = np.concatenate([[0], np.cumsum(counts)])
