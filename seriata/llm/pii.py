@@ -135,7 +135,9 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
     Base spans are the leftmost non-overlapping matches of each kind that its
     check confirms; the method adds bank accounts (mod 97). Null and empty texts
-    have none; a null doc_id stays null; other columns do not matter.
+    have none; a null doc_id stays null; repeated rows are each scanned; very
+    long texts are read whole, one at a time; without rows there are none in the
+    result; other columns do not matter.
     """
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(_scan), SCHEMA)
 

@@ -3,7 +3,7 @@ import random
 import re
 
 from seriata.llm.licences import BASE as PHRASES
-from seriata.llm.licences import scan_licences
+from seriata.llm.licences import LEAST_SHARE, Index, scan_licences, templates, words_of
 from seriata.llm.pii import find_pii, find_spans, luhn, mod97, redact
 
 RAW = {
@@ -81,3 +81,44 @@ def test_account_numbers_before_words():
         for after in ("", " BIC GKCCBEBB", " BIC", ".", " DE89 3704 0044 0532 0130 00"):
             spans = [s for s in find_spans(f"to {number}{after}") if s[0] == "iban"]
             assert spans[0] == ("iban", 3, 3 + len(number)) and len(spans) == 1 + ("DE89" in after), (number, after)
+
+
+def test_template_labels_against_brute_force():
+    r = random.Random(8)
+    some = templates()
+    index = Index({b"the": 90, b"license": 40, b"software": 30}, 100)
+    for _ in range(300):
+        words = []
+        for _ in range(r.randrange(1, 5)):
+            t = list(r.choice(some).words)
+            for _ in range(r.randrange(0, 4)):
+                t[r.randrange(len(t))] = b"other"
+            words += [b"word"] * r.randrange(0, 3) + t[r.randrange(0, 4) : len(t) - r.randrange(0, 4)]
+        want, best = set(), 0.0
+        for t in some:
+            for begin in range(-t.at, len(words)):
+                if words[begin + t.at : begin + t.at + len(t.phrase)] == list(t.phrase):
+                    share = sum(index.idf[w] for i, w in enumerate(t.words) if 0 <= begin + i < len(words) and words[begin + i] == w) / sum(index.idf[w] for w in t.words)
+                    if share >= LEAST_SHARE:
+                        want.add(t.label)
+                    best = max(best, 1.0 if t.is_base else share / 2 + (0.5 if share >= LEAST_SHARE else 0))
+        _, labels, score = index.scan(words)
+        assert labels == want and abs(score - best) < 1e-9
+
+
+def test_other_versions_get_no_label():
+    index = Index({}, 10)
+    for text in ("Apache License, Version 1.1", "Mozilla Public License version 1.1", "Creative Commons Attribution NonCommercial NoDerivs", "the GNU General Public License", "no licence here"):
+        assert index.scan(words_of(text))[1] == set(), text
+    assert index.scan(words_of("licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"))[1] == {"cc-by-nc-sa"}
+    assert index.scan(words_of("Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."))[1] == {"apache-2"}
+
+
+def test_very_long_texts(docs_of):
+    long = "word " * 300_000
+    rows = [(1, long + "under the MIT license a@b.co"), (2, "7" * 1_000_000)]
+    by = {x.doc_id: x for x in scan_licences(docs_of(rows)).collect()}
+    assert by[1].first_word == 300_000 and by[1].base_labels == "mit" and by[2].n_words == 1
+    found = {x.doc_id: x.spans for x in find_pii(docs_of(rows)).collect()}
+    at = len(long) + len("under the MIT license ")
+    assert found == {1: f"email:{at}:{at + 6}", 2: ""}
