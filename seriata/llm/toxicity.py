@@ -3,8 +3,9 @@
 A word's input is a hashed word embedding and the embeddings of its character
 5-grams, each beside a smoothed log-odds of the training labels. The network
 reads windows of words, pools its states by attention and scores the window; a
-text is as toxic as its most toxic window, and all overlapping windows of the
-whole text are scored.
+text is as toxic as its most toxic window. Windows of WINDOW words overlap: one
+begins every STRIDE words of the whole text, and all of them are scored. Each
+run of up to WINDOW - STRIDE + 1 words lies whole in one of them.
 
 It is fitted on a bounded sample of labelled rows: at most FIT_ROWS rows and
 about FIT_CHARS characters, the rows with the smallest hashes of their ids.
@@ -13,6 +14,7 @@ about FIT_CHARS characters, the rows with the smallest hashes of their ids.
 from __future__ import annotations
 
 import io
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, lean, mix64, ragged, slices
+from .common import LOWER, lean, mix64, ragged, slices, trim
 
 FIT_ROWS = 4000
 FIT_CHARS = 16_000_000
@@ -71,12 +73,11 @@ def read_words(texts: pa.Array) -> Words:
         rolled = rolled * np.uint64(0x100000001B3) + data[k : len(data) - GRAM + k]
     grams = np.maximum(size + 2 - GRAM + 1, 1)
     gram_rows = (mix64(rolled[ragged(start, grams)]) >> np.uint64(64 - CHAR_BITS)).astype(np.int64)
-    word = np.zeros(len(held), np.uint64)
-    longest = int(size.max())
-    for k in range(min(longest, 64)):
-        on = size > k
-        word[on] = (word[on] ^ data[start[on] + 1 + k]) * np.uint64(0x100000001B3) + np.uint64(k + 1)
-    word ^= size.astype(np.uint64)
+    # A word's own hash: its bytes, each mixed with its place, all of them however long the word is.
+    ends = np.cumsum(size)
+    place = np.arange(ends[-1]) - np.repeat(ends - size, size)
+    summed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(place.astype(np.uint64) << np.uint64(8) | data[ragged(start + 1, size)]), dtype=np.uint64)])
+    word = summed[ends] - summed[ends - size] + size.astype(np.uint64)
     return Words(codes, lists.offsets.to_numpy().astype(np.int64), (mix64(word) >> np.uint64(64 - WORD_BITS)).astype(np.int64), gram_rows, np.cumsum(grams) - grams)
 
 
@@ -323,25 +324,33 @@ def held_out(doc_id):
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> Model:
-    """The network fitted on at most rows labelled documents and about chars characters, those with the smallest hashes of their ids."""
+    """The network fitted on at most rows labelled documents of at most chars characters, those with the smallest hashes of their ids.
+
+    Of rows that share a doc_id the smallest text counts, of labels the larger. A
+    text that would pass the limit of characters is left out and the next ones
+    are still taken. With no labelled text left nothing is called toxic, and a
+    warning says so.
+    """
     known = labels.where(F.col("toxic").isNotNull() & ~held_out("doc_id")).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text", F.length("text").alias("size"))  # at most rows rows
-    sizes = sorted((r.doc_id, r.size or 0) for r in sample.select("doc_id", "size").collect())
+    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))  # at most rows rows
+    sizes = sorted((r.doc_id, r.size) for r in sample.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("size")).collect())
     order = np.argsort(mix64(np.array([d for d, _ in sizes], np.int64).view(np.uint64)), kind="stable") if sizes else []
     keep, total = [], 0
     for i in order:
-        total += sizes[i][1]
-        if total <= chars:
+        if total + sizes[i][1] <= chars:
+            total += sizes[i][1]
             keep.append(sizes[i][0])
     if not keep:
+        warnings.warn("no labelled text to fit on: nothing will be called toxic", stacklevel=2)
         return train([], [])
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = sorted({(int(d), t or "", int(y)) for d, t, y in zip(pdf.doc_id, pdf.text, pdf.toxic, strict=True)})
+        got = sorted((int(d), t or "", int(y)) for d, t, y in zip(pdf.doc_id, pdf.text, pdf.toxic, strict=True))
         out = io.BytesIO()
         np.savez(out, **train([t for _, t, _ in got], [y for _, _, y in got]).p)
+        trim()
         return pd.DataFrame({"model": [out.getvalue()]})
 
     # The sample is bounded, so one task fits the network, and the driver only gets its parameters.
@@ -355,7 +364,8 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, predicted of every row of docs.
 
     Null and empty texts have one empty window and so one score; repeated rows
-    get equal scores; a null doc_id stays null; only text is read.
+    get equal scores; a null doc_id stays null; very long texts are read whole,
+    one at a time; without rows there are none in the result; only text is read.
     """
     box = docs.sparkSession.sparkContext.broadcast({k: v.astype(np.float32) for k, v in model.p.items()})  # a few MB, whatever the corpus
 

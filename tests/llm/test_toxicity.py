@@ -46,17 +46,70 @@ def test_scores_do_not_depend_on_the_batch(model):
 def test_gradients(model):
     w = T.read_words(pa.array(["one two blorg three", "four five"]))
     codes, _ = T.windows(w)
-    y, x = np.array([1, 0], np.float32), model.inputs(w)
-    _, g = model.gradients(x, w, codes, y)
-    for name in ("Wf", "Ub", "A", "a", "o", "bias"):
-        at = np.unravel_index(np.argmax(np.abs(g[name])), g[name].shape)
+    y = np.array([1, 0], np.float32)
+    _, g = model.gradients(model.inputs(w), w, codes, y)
+    for name, d in g.items():
+        if isinstance(d, tuple):  # rows of a table, some of them more than once
+            full = np.zeros_like(model.p[name])
+            np.add.at(full, d[0], d[1])
+            d = full
+        at = np.unravel_index(np.argmax(np.abs(d)), d.shape)
         was, move = model.p[name][at], 1e-2
         losses = []
-        for d in (move, -move):
-            model.p[name][at] = was + d
-            losses.append(model.gradients(x, w, codes, y)[0])
+        for by in (move, -move):
+            model.p[name][at] = was + by
+            losses.append(model.gradients(model.inputs(w), w, codes, y)[0])
         model.p[name][at] = was
-        assert (losses[0] - losses[1]) / (2 * move) == pytest.approx(float(g[name][at]), rel=0.1, abs=1e-5), name
+        assert (losses[0] - losses[1]) / (2 * move) == pytest.approx(float(d[at]), rel=0.1, abs=1e-5), name
+    assert {"word", "gram", "Wf", "Wb", "Uf", "Ub", "cf", "cb", "A", "a", "o", "bias"} == set(g)
+
+
+def by_hand(p, x, codes):
+    """The logit of one window, word by word."""
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    words = [x[c].astype(float) for c in codes if c > 0]
+    ways = []
+    for way in "fb":
+        W, U, c = (p[f"{k}{way}"].astype(float) for k in "WUc")
+        h, out = np.zeros(T.HIDDEN), []
+        for v in words if way == "f" else words[::-1]:
+            g, u = v @ W + c, h @ U
+            n = T.HIDDEN
+            z, r = sig(g[:n] + u[:n]), sig(g[n : 2 * n] + u[n : 2 * n])
+            h = z * h + (1 - z) * np.tanh(g[2 * n :] + r * u[2 * n :])
+            out.append(h)
+        ways.append(out if way == "f" else out[::-1])
+    states = np.concatenate([np.array(o) for o in ways], 1)
+    e = np.exp(np.tanh(states @ p["A"].astype(float)) @ p["a"].astype(float))
+    return (e / e.sum()) @ states @ p["o"].astype(float) + p["bias"][0]
+
+
+def test_scores_against_a_network_by_hand(model):
+    texts = [t for t, _ in sample(30, 6)] + ["one", "blorg blorg"]
+    w = T.read_words(pa.array(texts))
+    x = model.inputs(w)
+    codes, text = T.windows(w)
+    best = {}
+    for c, k in zip(codes, text):
+        best[k] = max(best.get(k, -np.inf), by_hand(model.p, x, c))
+    assert np.allclose(model.score(pa.array(texts)), [1 / (1 + np.exp(-best[k])) for k in range(len(texts))], atol=1e-4)
+
+
+def test_long_words_are_hashed_whole():
+    w = T.read_words(pa.array(["a" * 100 + "b", "a" * 100 + "c", "a" * 101, "a" * 300_000 + "b", "a" * 300_000 + "c"]))
+    assert len(set(w.word_rows[1:].tolist())) == 5
+
+
+def test_fit_is_bounded_and_skips_what_is_too_long(spark, docs_of):
+    rows = sample(120, 7)
+    docs = [(i, t) for i, (t, _) in enumerate(rows)] + [(5, "z " * 40), (5, "a text before the others of its id")] * 50 + [(1000 + k, "word " * 50_000) for k in range(40)]
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)] + [(1000 + k, 0) for k in range(40)], "doc_id long, toxic int")
+    net = T.fit(docs_of(docs), labels, chars=100_000)
+    s = net.score(pa.array([t for t, _ in sample(200, 8)]))
+    assert np.mean((s >= 0.5) == np.array([y for _, y in sample(200, 8)])) > 0.8
+    with pytest.warns(UserWarning):
+        none = T.fit(docs_of(docs[:3]), labels.limit(0))
+    assert none.score(pa.array(["x"]))[0] < 0.5
 
 
 def test_windows_cover_every_word():
