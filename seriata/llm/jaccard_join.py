@@ -248,8 +248,8 @@ class Lists:
         return cls(size, place, np.append(new, len(group)))
 
     def pairs(self, x: np.ndarray, first: np.ndarray, last: np.ndarray, size: np.ndarray, place: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray]:
-        """(x, y): each x (an entry of this size and place) with the entries y of blocks first..last that may link. Blocks that cannot are skipped."""
-        if not len(x) or len(self.blocks) < 2:
+        """(x, y): each x, an entry of this size and place, with the entries y of blocks from first up to last that may link. Blocks that cannot are skipped."""
+        if not (last > first).any():
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         least, rest = np.minimum.reduceat(self.size, self.blocks[:-1]), np.maximum.reduceat(self.size - self.place, self.blocks[:-1])
         out = []
@@ -319,21 +319,29 @@ def rest_pairs(told: DataFrame, share: int) -> DataFrame:
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     left = sized.where("apart").withColumn("col", some("cols")).select("token", "col", every("rows").alias("row"), "node", "size", "place", "label", F.lit(True).alias("asks"))
     right = sized.withColumn("row", some("rows")).select("token", every("cols").alias("col"), "row", "node", "size", "place", "label", F.lit(False).alias("asks"))
+    parts = ranges(told.sparkSession, 4)
 
     def join(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         size, place = pdf["size"].to_numpy().astype(np.int64), pdf["place"].to_numpy().astype(np.int64)
-        order = np.lexsort((size, place * BLOCKS // size))
-        node, label, size, place, asks = pdf.node.to_numpy()[order], pdf.label.to_numpy()[order], size[order], place[order], pdf.asks.to_numpy()[order]
+        column = lambda c: pdf[c].to_numpy()
+        order = np.lexsort((size, place * BLOCKS // size, column("row"), column("col"), column("token")))
+        size, place = size[order], place[order]
+        node, label, asks, token, col, row = (column(c)[order] for c in ("node", "label", "asks", "token", "col", "row"))
+        new = np.concatenate([[True], (token[1:] != token[:-1]) | (col[1:] != col[:-1]) | (row[1:] != row[:-1])])
+        group = np.cumsum(new) - 1
         x, y = np.flatnonzero(asks), np.flatnonzero(~asks)
-        lists = Lists.of(np.zeros(len(y), np.int64), size[y], place[y])
-        a, b = lists.pairs(x, np.zeros(len(x), np.int64), np.full(len(x), len(lists.blocks) - 1), size[x], place[x], share)
+        lists = Lists.of(group[y], size[y], place[y])
+        block = lambda g: np.searchsorted(lists.blocks, np.searchsorted(group[y], g))
+        a, b = lists.pairs(x, block(group[x]), block(group[x] + 1), size[x], place[x], share)
         b = y[b]
         ok = label[a] != label[b]
         low, high = np.minimum(node[a[ok]], node[b[ok]]), np.maximum(node[a[ok]], node[b[ok]])
         trim()
         return pd.DataFrame({"a": low, "b": high}).drop_duplicates()
 
-    return left.unionByName(right).groupBy("token", "col", "row").applyInPandas(join, "a long, b long").distinct()
+    # Many lists a call; as many tasks as the cluster has for a shuffle, since little data here is much work.
+    dealt = left.unionByName(right).withColumn("part", F.pmod(F.xxhash64("token", "col", "row"), F.lit(parts)).cast("int"))
+    return dealt.repartition(parts // 4, "part").groupBy("part").applyInPandas(join, "a long, b long").distinct()
 
 
 # ---------------------------------------------------------------- comparing

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import lean, ragged, slices, written
-from .tokens import Encoder, encode_ended, vocabulary
+from .tokens import SLICE, Encoder, encode_ended, vocabulary
 
 MAX_TOKENS = 1024
 END_ID = 2
@@ -67,7 +67,7 @@ def pieces(docs: DataFrame, path: str | None = None, end_id: int = END_ID, max_t
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen, task = Encoder(path), Counter(), TaskContext.get().partitionId()
-        for batch in slices(batches):
+        for batch in slices(batches, size=SLICE):
             ids, bounds = encode_ended(encoder, batch.column(1), end_id)
             total = np.diff(bounds)
             n = -(-total // max_tokens)

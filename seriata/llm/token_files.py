@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import lean, ranges, shared_dir, slices
-from .tokens import Encoder, encode_ended, vocabulary
+from .tokens import SLICE, Encoder, encode_ended, vocabulary
 
 END_ID = 0
 BLOCK = 1 << 16
@@ -85,7 +85,7 @@ def write_token_files(docs: DataFrame, to: str, path: str | None = None, end_id:
             types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string(), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], [x.split()[0] for x in CHUNK_SCHEMA.split(", ")])
 
-        for batch in slices(batches):
+        for batch in slices(batches, size=SLICE):
             ids, bounds = encode_ended(encoder, batch.column(1), end_id)
             for i, doc in enumerate(batch.column(0).to_pylist()):
                 held.append(ids[bounds[i] : bounds[i + 1]])

@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 
 from .common import ragged
 
+#: Bytes of text that are encoded at a time: work space is some twenty times as much.
+SLICE = 2 << 20
 VOCABULARY = "byte_bpe_50k.json"
 _WHITE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 
