@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, durable, lean, ranges
+from .common import LOWER, durable, lean, ranges, slices
 
 SLOTS = 4
 MIN_CHARS = 10
@@ -123,7 +123,7 @@ def _texts(column: pa.Array) -> Iterator[bytes]:
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         docs, version, hi, lo = [], [], [], []
         for doc, raw in zip(batch.column(0).to_pylist(), _texts(batch.column(1)), strict=True):
             if doc is None:
@@ -242,7 +242,7 @@ def _probe(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
 # ---------------------------------------------------------------- applying it
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds n_lines, n_dropped and the kept text to rows of any columns with text and keys."""
-    for batch in batches:
+    for batch in slices(batches, "text"):
         n_lines, n_dropped, kept = [], [], []
         for raw, keys in zip(_texts(batch.column("text")), batch.column("keys").to_pylist(), strict=True):
             lines = raw.split(b"\n")
@@ -264,7 +264,7 @@ def _digest(key: bytes) -> bytes:
 
 
 def _version(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, "text"):
         marks = [int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True) for raw in _texts(batch.column("text"))]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.int64())], [*batch.schema.names, "version"])
 
@@ -277,7 +277,8 @@ def dedup_lines(docs: DataFrame, store: LineStore | None = None) -> DataFrame:
     doc_ids hold keeps its lines only in the smallest of them, all of them
     there. Null and empty texts have one empty line. Rows that repeat a doc_id
     count as one document; each keeps its own text. A null doc_id neither holds
-    nor loses lines. Other columns of docs do not matter.
+    nor loses lines. Very long texts are read whole, one at a time; without rows
+    there are none in the result. Other columns of docs do not matter.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -288,12 +289,18 @@ def dedup_lines(docs: DataFrame, store: LineStore | None = None) -> DataFrame:
 
 
 def rewrite_documents(docs: DataFrame) -> DataFrame:
-    """The rows and columns of docs with the text that dedup_lines keeps (a null one stays null), and n_chars as its length."""
-    store = LineStore.empty(docs.sparkSession).insert(docs)
-    kept = T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema if f.name != "text"), *T._parse_datatype_string("was_null boolean, version long, n_lines long, n_dropped long, kept_text string")])
-    marked = docs.withColumn("was_null", F.col("text").isNull())
-    marked = marked.mapInArrow(lean(_version), T.StructType([*marked.schema, T.StructField("version", T.LongType())]))
-    cut = marked.join(store.drops(), ["doc_id", "version"], "left").select(*[f.name for f in docs.schema if f.name != "text"], "was_null", "version", "text", "keys").mapInArrow(lean(_cut), kept)
-    text = F.when(F.col("was_null"), F.lit(None).cast("string")).otherwise(F.col("kept_text"))
+    """The rows and columns of docs with the text that dedup_lines keeps (a null one stays null), and n_chars as its length.
+
+    Other columns go along in one struct, so their names cannot clash with those
+    used here. Otherwise as dedup_lines.
+    """
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    store = LineStore.empty(docs.sparkSession).insert(own)
+    others = [f for f in docs.schema if f.name != "text"]
+    kept = [T.StructField("row", T.StructType(others), False), T.StructField("doc_id", T.LongType()), T.StructField("was_null", T.BooleanType()), T.StructField("text", T.StringType()), T.StructField("version", T.LongType())]
+    marked = docs.select(F.struct(*(F.col(f"`{f.name}`") for f in others)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").isNull().alias("was_null"), F.col("text").cast("string").alias("text"))
+    marked = marked.mapInArrow(lean(_version), T.StructType(kept)).join(store.drops(), ["doc_id", "version"], "left").select("row", "was_null", "text", "keys")
+    cut = marked.mapInArrow(lean(_cut), T.StructType([kept[0], kept[2], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_text", T.StringType())]))
+    text = F.when(~F.col("was_null"), F.col("kept_text"))
     now = {"text": text, "n_chars": F.length("kept_text").cast("long")}
-    return cut.select(*(now.get(c, F.col(c)).alias(c) for c in docs.columns))
+    return cut.select(*(now.get(c, F.col(f"row.`{c}`") if c != "text" else text).alias(c) for c in docs.columns))

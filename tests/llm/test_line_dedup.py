@@ -2,7 +2,9 @@ import random
 
 import numpy as np
 
-from seriata.llm.line_dedup import CuckooFilter, LineStore, dedup_lines
+from pyspark.sql import functions as F
+
+from seriata.llm.line_dedup import CuckooFilter, LineStore, dedup_lines, rewrite_documents
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -56,3 +58,17 @@ def test_cuckoo_filter():
     assert f.contains(rng.integers(0, 2**64, 50_000, dtype=np.uint64)).mean() < 0.001
     f.delete(keys[:1000])
     assert f.contains(keys[1000:]).all() and f.contains(keys[:1000]).mean() < 0.01
+
+
+def test_rewritten_documents_keep_columns_of_any_name(docs_of):
+    rows = some(1)
+    docs = docs_of(rows)
+    for name in ("version", "keys", "was_null", "n_lines", "n_dropped", "kept_text", "row", "hi", "shard"):
+        docs = docs.withColumn(name, F.concat(F.lit(name), F.col("doc_id")))
+    out = rewrite_documents(docs)
+    assert out.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"], r["version"], r["kept_text"], r["n_chars"]) for r in out.collect()), key=str)
+    null = {i for i, t in rows if t is None}
+    want = [(i, None if i in null else t, None if i is None else f"version{i}", None if i is None else f"kept_text{i}", len(t)) for i, _, _, t in brute(rows)]
+    assert got == sorted(want, key=str)
+    assert rewrite_documents(docs_of([])).count() == 0
