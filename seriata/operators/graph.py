@@ -4,16 +4,26 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; one is made only where all runs in one process and none is set."""
+    there, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext._jsc.sc()
+    if not there and context.getCheckpointDir().isDefined():
+        there = context.getCheckpointDir().get()
+    if not there and not context.isLocal():
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return there or tempfile.mkdtemp(prefix="seriata-")
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Rows in the session's checkpoint folder, with their lineage cut; a folder is only made where none is set."""
+    """Rows in the session's checkpoint folder, with their lineage cut."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="seriata-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -36,18 +46,32 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def spanning_tree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges (src, dst, w) of the minimum spanning forest: every component takes its lightest outgoing edge, round by round."""
-    e = durable(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "w").groupBy("src", "dst").agg(F.min("w").alias("w")).where("src <> dst"))
-    chosen = None
-    labels = nodes.select("node").distinct().withColumn("component", F.col("node"))
+    """Edges (src, dst, w) of the minimum spanning forest: every component takes its lightest outgoing edge, round by round.
+
+    As ties go by the nodes, components point at each other in trees whose roots
+    are pairs that point at one another; doubling finds the roots, and edges
+    inside a component go. nodes without an edge are in no tree.
+    """
+    low, high = F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")
+    left = durable(edges.select(low, high, "w").groupBy("src", "dst").agg(F.min("w").alias("w")).where("src <> dst").withColumn("a", F.col("src")).withColumn("b", F.col("dst")))
+    chosen = left.select("src", "dst", "w").limit(0)
     while True:
-        across = e.join(labels.select(F.col("node").alias("src"), F.col("component").alias("a")), "src").join(labels.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst").where("a <> b")
-        best = F.min(F.struct("w", "src", "dst")).alias("e")
-        light = durable(across.select(F.explode(F.array("a", "b")).alias("c"), "w", "src", "dst").groupBy("c").agg(best).select("e.src", "e.dst", "e.w").distinct())
+        ends = F.explode(F.array(F.struct(F.col("a").alias("c"), F.col("b").alias("to")), F.struct(F.col("b").alias("c"), F.col("a").alias("to"))))
+        best = left.select(ends.alias("e"), "w", "src", "dst").groupBy("e.c").agg(F.min(F.struct("w", "src", "dst", "e.to")).alias("e"))
+        light = durable(best.select("c", "e.to", "e.w", "e.src", "e.dst"))
         if light.isEmpty():
-            return chosen if chosen is not None else light
-        chosen = durable(light if chosen is None else chosen.unionByName(light))
-        labels = components(nodes, chosen)
+            return chosen
+        chosen = chosen.unionByName(light.select("src", "dst", "w").distinct())
+        there = light.select(F.col("c").alias("to"), F.col("to").alias("back"))
+        up = durable(light.select("c", "to").join(there, "to").select("c", F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("to")))
+        while True:
+            on = up.select(F.col("c").alias("to"), F.col("to").alias("next"))
+            new = durable(up.join(on, "to").select("c", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")))
+            up = new.drop("moved")
+            if new.where("moved").isEmpty():
+                break
+        at = lambda side: up.select(F.col("c").alias(side), F.col("to").alias(f"{side}_root"))
+        left = durable(left.join(at("a"), "a").join(at("b"), "b").where("a_root <> b_root").select("src", "dst", "w", F.col("a_root").alias("a"), F.col("b_root").alias("b")))
 
 
 def spanning_rounds(nodes: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:

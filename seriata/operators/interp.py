@@ -13,7 +13,7 @@ def inverse_distance(pairs: DataFrame, keys: list[str], values: list[str], power
     return pairs.groupBy(*keys, "id").agg(*(F.coalesce(at_zero(v), F.sum(w * F.col(v)) / F.sum(w)).alias(v) for v in values))
 
 
-def moving_least_squares(pairs: DataFrame, keys: list[str], alpha: float = 1.0, tolerance: float = 1e-9) -> DataFrame:
+def moving_least_squares(pairs: DataFrame, keys: list[str], alpha: float = 1.0, tolerance: float = 1e-6) -> DataFrame:
     """keys, id, u, v: where a rigid moving least squares map takes a query point.
 
     pairs: (id, x, y, px, py, qx, qy): each query point with the control points

@@ -23,22 +23,37 @@ def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def solve_graph(i: np.ndarray, j: np.ndarray, delta: np.ndarray, weight: np.ndarray, n: int, ridge: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """x with x_i - x_j = delta, both sides weighted (so weights count squared), centred per component; and the components.
 
-    Normal equations of the n nodes (not edges times nodes), solved for the
-    least norm, as graphs without a fixed node have no single solution.
+    Normal equations by conjugate gradients, scaled by the nodes' degrees: work
+    space is a few numbers a node and edge, and no matrix is made. Graphs
+    without a fixed node have no single solution, so components are centred.
     """
     w2 = weight * weight
-    lap = np.zeros((n, n))
-    np.add.at(lap, (i, i), w2)
-    np.add.at(lap, (j, j), w2)
-    np.add.at(lap, (i, j), -w2)
-    np.add.at(lap, (j, i), -w2)
-    right = np.zeros((n, delta.shape[1]))
-    np.add.at(right, i, w2[:, None] * delta)
-    np.add.at(right, j, -w2[:, None] * delta)
-    x = np.linalg.lstsq(lap + ridge * np.eye(n), right, rcond=None)[0]
+    degree = np.bincount(i, w2, n) + np.bincount(j, w2, n) + ridge
+    scale = 1 / np.where(degree > 0, degree, 1)
     label = _labels(n, i[w2 > 0], j[w2 > 0])
-    for k in np.unique(label):
-        x[label == k] -= x[label == k].mean(0)
+    size = np.bincount(label, minlength=n)
+    centred = lambda v: v - (np.bincount(label, v, n) / np.maximum(size, 1))[label]
+
+    def times(v: np.ndarray) -> np.ndarray:
+        flow = w2 * (v[i] - v[j])
+        return np.bincount(i, flow, n) - np.bincount(j, flow, n) + ridge * v
+
+    x = np.zeros((n, delta.shape[1]))
+    for c in range(delta.shape[1]):
+        r = np.bincount(i, w2 * delta[:, c], n) - np.bincount(j, w2 * delta[:, c], n)
+        least, z = 1e-13 * np.linalg.norm(r), scale * r
+        p, rz = z, r @ z
+        for _ in range(20 * n + 100):
+            if np.linalg.norm(r) <= least or rz <= 0:
+                break
+            q = times(p)
+            a = rz / (p @ q)
+            x[:, c] += a * p
+            r = r - a * q
+            z = scale * r
+            before, rz = rz, r @ z
+            p = z + rz / before * p
+        x[:, c] = centred(x[:, c])
     return x, label
 
 

@@ -77,8 +77,8 @@ def n01(spark, d):
 def n04(spark, d):
     """An order from several solutions: rows of regions shuffled within customers, read as sequences."""
     t = Tables(spark, d)
-    s = t.orders.select("o_custkey", "o_orderdate", (F.col("o_orderkey") % 12).alias("region"))
-    return O.solve_order(J.consensus(s, ["o_custkey"], "o_orderdate", "region"), "share")
+    s = t.orders.select("o_custkey", F.struct("o_orderdate", "o_orderkey").alias("at"), (F.col("o_orderkey") % 12).alias("region"))
+    return O.solve_order(J.consensus(s, ["o_custkey"], "at", "region"), "share")
 
 
 @query("j12_consensus_adjacency", "WITH p AS (SELECT o_orderkey % 12 AS x, lead(o_orderkey % 12) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS y FROM orders), n AS (SELECT least(x, y) AS a, greatest(x, y) AS b, count(*) AS n FROM p WHERE y IS NOT NULL AND x <> y GROUP BY 1, 2) SELECT a, b, round(n / max(n) OVER (), 6) AS share FROM n")
@@ -108,22 +108,29 @@ def e11(spark, d):
     return j01(spark, d).groupBy("component").agg(F.count("*").alias("n"))
 
 
-@query("j02_spanning_rounds", f"WITH {_EDGES} SELECT 1 AS ok")
+#: An edge is in the spanning forest if no lighter edges join its ends; the second forest is that of the edges the first left.
+_FOREST = """WITH RECURSIVE {edges}, w AS (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM e WHERE src <> dst), v AS (SELECT *, (src * 7919 + dst * 104729) % 1009 AS w FROM w),
+k AS (SELECT *, row_number() OVER (ORDER BY w, src, dst) AS k FROM v), b AS (SELECT src AS x, dst AS y, k FROM k UNION ALL SELECT dst, src, k FROM k),
+r AS (SELECT k, src AS node FROM k UNION SELECT r.k, b.y FROM r JOIN b ON b.x = r.node AND b.k < r.k),
+f AS (SELECT k.* FROM k WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.k = k.k AND r.node = k.dst)),
+k2 AS (SELECT * FROM k ANTI JOIN f USING (k)), b2 AS (SELECT src AS x, dst AS y, k FROM k2 UNION ALL SELECT dst, src, k FROM k2),
+r2 AS (SELECT k, src AS node FROM k2 UNION SELECT r2.k, b2.y FROM r2 JOIN b2 ON b2.x = r2.node AND b2.k < r2.k),
+f2 AS (SELECT k2.* FROM k2 WHERE NOT EXISTS (SELECT 1 FROM r2 WHERE r2.k = k2.k AND r2.node = k2.dst))
+SELECT src, dst, w, 0 AS round FROM f UNION ALL SELECT src, dst, w, 1 FROM f2"""
+
+
+@query("j02_spanning_rounds", _FOREST.replace("{edges}", _EDGES))
 def j02(spark, d):
-    """Two disjoint spanning forests: acyclic, as many edges as nodes less components, and no edge twice."""
+    """Two disjoint minimum spanning forests; ties go by the nodes."""
     t = Tables(spark, d)
-    e = J.durable(supplier_edges(t).withColumn("w", (F.col("src") * 7919 + F.col("dst") * 104729) % 1009))
-    nodes = t.supplier.select(F.col("s_suppkey").alias("node"))
-    trees = J.durable(J.spanning_rounds(nodes, e, 2))
-    n = nodes.count()
-    parts = J.components(nodes, e).agg(F.count_distinct("component")).first()[0]
-    first = F.count_if(F.col("round") == 0) == n - parts
-    return trees.agg((first & (F.count("*") == F.count_distinct("src", "dst"))).cast("int").alias("ok"))
+    low, high = F.least("src", "dst"), F.greatest("src", "dst")
+    e = J.durable(supplier_edges(t).where("src <> dst").select(low.alias("src"), high.alias("dst")).distinct().withColumn("w", (F.col("src") * 7919 + F.col("dst") * 104729) % 1009))
+    return J.spanning_rounds(t.supplier.select(F.col("s_suppkey").alias("node")), e, 2).select("src", "dst", "w", "round")
 
 
-@query("j09_bounded_paths", f"WITH RECURSIVE {_EDGES}, b AS (SELECT src AS x, dst AS y FROM e WHERE src < 40 AND dst < 40 UNION SELECT dst, src FROM e WHERE src < 40 AND dst < 40), r AS (SELECT x AS src, y AS dst, 1 AS h FROM b UNION SELECT r.src, b.y, h + 1 FROM r JOIN b ON b.x = r.dst WHERE h < 3) SELECT src, dst, min(h) AS hops FROM r WHERE src <> dst GROUP BY 1, 2")
+@query("j09_bounded_paths", f"WITH RECURSIVE {_EDGES}, b AS (SELECT src AS x, dst AS y FROM e UNION SELECT dst, src FROM e), r AS (SELECT x AS src, y AS dst, 1 AS h FROM b UNION SELECT r.src, b.y, h + 1 FROM r JOIN b ON b.x = r.dst WHERE h < 3) SELECT src, dst, min(h) AS hops FROM r WHERE src <> dst GROUP BY 1, 2")
 def j09(spark, d):
-    return J.hops(supplier_edges(Tables(spark, d)).where("src < 40 and dst < 40"), 3)
+    return J.hops(supplier_edges(Tables(spark, d)), 3)
 
 
 _GRID = """WITH c AS (SELECT i % 22 AS col, i // 22 AS row FROM range(572) t(i))"""
@@ -137,11 +144,11 @@ def j10(spark, d):
     return grid.groupBy("colour").agg(F.count("*").alias("n")).join(clash, "colour", "left").select("colour", "n", F.coalesce("clashes", F.lit(0)).cast("int").alias("clashes"))
 
 
-_P = "p AS (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS x, p_retailprice / 10 AS y FROM part WHERE p_partkey < 1000)"
+_P = "p AS (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS x, p_retailprice / 10 AS y FROM part)"
 
 
 def points(t: Tables):
-    return t.part.where("p_partkey < 1000").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), (F.col("p_retailprice") / 10).alias("y"))
+    return t.part.select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), (F.col("p_retailprice") / 10).alias("y"))
 
 
 @query("j11_neighbour_counts", f"WITH {_P} SELECT a.id, count(b.id) AS n, count(b.id) < 3 AS outlier FROM p a LEFT JOIN p b ON a.id <> b.id AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 2.25 GROUP BY 1")
@@ -197,7 +204,7 @@ def planted(t: Tables):
     return t.part.select("p_brand", x.alias("sx"), y.alias("sy"), (0.9 * x - 0.2 * y + 30 + off).alias("tx"), (0.2 * x + 1.1 * y - 7 - off).alias("ty"))
 
 
-@query("k05_ransac", "SELECT p_brand, count(*) AS n, count(*) FILTER (p_partkey % 5 <> 0) AS inliers, 0.9::DOUBLE AS a, -0.2::DOUBLE AS b, 30.0::DOUBLE AS tx, 0.2::DOUBLE AS c, 1.1::DOUBLE AS d, -7.0::DOUBLE AS ty FROM part GROUP BY 1")
+@query("k05_ransac", "SELECT p_brand, n, inliers, CASE WHEN inliers >= 4 THEN 0.9::DOUBLE END AS a, CASE WHEN inliers >= 4 THEN -0.2::DOUBLE END AS b, CASE WHEN inliers >= 4 THEN 30.0::DOUBLE END AS tx, CASE WHEN inliers >= 4 THEN 0.2::DOUBLE END AS c, CASE WHEN inliers >= 4 THEN 1.1::DOUBLE END AS d, CASE WHEN inliers >= 4 THEN -7.0::DOUBLE END AS ty FROM (SELECT p_brand, count(*) AS n, count(*) FILTER (p_partkey % 5 <> 0) AS inliers FROM part GROUP BY 1)")
 def k05(spark, d):
     r = K.ransac_affine(planted(Tables(spark, d)), ["p_brand"], 1.0)
     return r.select("p_brand", "n", "inliers", *(F.round(c, 6).alias(c) for c in ("a", "b", "tx", "c", "d", "ty")))
@@ -210,25 +217,32 @@ def c11(spark, d):
     return K.gaussian_cutoff(Tables(spark, d).part.select("p_brand", v.alias("corr")), ["p_brand"], "corr").withColumn("cutoff", F.round("cutoff", 6))
 
 
-def tile_edges(t: Tables):
-    """Differences of planted node positions, per returnflag: src and dst suppliers."""
-    pos = lambda n: (F.col(n) * 37 % 101).cast("double")
-    e = t.lineitem.where("l_partkey % 7 = 1").select(F.col("l_returnflag").alias("section"), F.col("l_suppkey").alias("src"), (F.col("l_partkey") % F.lit(100)).alias("dst")).where("src <> dst").distinct()
-    return e.select("section", "src", "dst", (pos("src") - pos("dst")).alias("dx"), (2 * (pos("src") - pos("dst"))).alias("dy"), (1.0 + (F.col("src") + F.col("dst")) % 3).alias("w"))
+def rings(t: Tables):
+    """Rings of the customers of each nation, with differences that do not close and weights."""
+    w = Window.partitionBy("c_nationkey").orderBy("c_custkey")
+    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    c = t.customer.select(F.col("c_nationkey").alias("section"), F.col("c_custkey").alias("src"), F.coalesce(F.lead("c_custkey").over(w), F.first("c_custkey").over(every)).alias("dst"), F.count("*").over(every).alias("n"), "c_acctbal")
+    k = F.col("src")
+    return c.where("n >= 3").select("section", "src", "dst", (F.col("c_acctbal") / 100).alias("dx"), (k * 37 % 101 - 50.0).alias("dy"), (1.0 + k % 3).alias("w"))
+
+
+#: On a ring the misclosure is shared out by the inverse of the squared weights.
+_RINGS = """WITH c AS (SELECT c_nationkey AS section, c_custkey AS node, c_acctbal / 100 AS dx, c_custkey * 37 % 101 - 50.0 AS dy, 1 / (1.0::DOUBLE + c_custkey % 3) ** 2 AS u, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer),
+d AS (SELECT *, dx - u * sum(dx) OVER s / sum(u) OVER s AS ex, dy - u * sum(dy) OVER s / sum(u) OVER s AS ey FROM c WHERE n >= 3 WINDOW s AS (PARTITION BY section)),
+p AS (SELECT section, node, -coalesce(sum(ex) OVER b, 0) AS x, -coalesce(sum(ey) OVER b, 0) AS y FROM d WINDOW b AS (PARTITION BY section ORDER BY node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT section, node, round(x - avg(x) OVER s + 1e-9, 4) AS x, round(y - avg(y) OVER s + 1e-9, 4) AS y, min(node) OVER s AS component FROM p WINDOW s AS (PARTITION BY section)"""
 
 
-@query("j04_j13_graph_least_squares", "WITH e AS (SELECT DISTINCT l_returnflag AS section, l_suppkey AS src, l_partkey % 100 AS dst FROM lineitem WHERE l_partkey % 7 = 1 AND l_suppkey <> l_partkey % 100) SELECT section, count(*) AS edges, true AS exact FROM e GROUP BY 1")
+@query("j04_j13_graph_least_squares", _RINGS)
 def j04(spark, d):
-    """Positions from consistent differences: every residual vanishes."""
-    e = tile_edges(Tables(spark, d))
-    solved = V.group_least_squares(e, ["section"])
-    r = V.residuals(e, solved, ["section"])
-    return r.groupBy("section").agg(F.count("*").alias("edges"), (F.max(F.greatest(F.abs("rx"), F.abs("ry"))) < 1e-6).alias("exact"))
+    """Positions on weighted rings whose differences do not close."""
+    solved = V.group_least_squares(rings(Tables(spark, d)), ["section"])
+    return solved.select("section", "node", *(F.round(F.col(c) + 1e-9, 4).alias(c) for c in "xy"), "component")
 
 
-@query("j05_k18_reconcile", "WITH c AS (SELECT DISTINCT c_nationkey AS vertex FROM customer) SELECT vertex, 60 AS sections, true AS smooth FROM c")
+@query("j05_k18_reconcile", "WITH v AS (SELECT DISTINCT c_nationkey AS vertex FROM customer), f AS (SELECT vertex, z, vertex * 3 + z * z % 11 AS x FROM v, range(60) t(z)), c AS (SELECT a.vertex, a.z, a.x, avg(b.x) AS mean FROM f a JOIN f b ON a.vertex = b.vertex AND b.z >= a.z // 20 * 20 - 6 AND b.z < a.z // 20 * 20 + 26 GROUP BY 1, 2, 3) SELECT vertex, z, round(x - mean + 1e-9, 5) AS x, round(mean - x + 1e-9, 5) AS y FROM c")
 def j05(spark, d):
-    """The reconcile of a stack of 60 sections at each vertex from noise-free deltas of a planted field: neighbours differ as planted."""
+    """The reconcile of a stack of 60 sections at each vertex from deltas of a planted field: each chunk is centred over itself and its context."""
     t = Tables(spark, d)
     vertex = t.customer.select(F.col("c_nationkey").alias("vertex")).distinct()
     z = spark.range(60).select(F.col("id").alias("z"))
@@ -236,20 +250,17 @@ def j05(spark, d):
     at = vertex.join(z).withColumn("k", F.explode(F.array(*map(F.lit, (-2, -1, 1, 2))))).where("z + k >= 0 and z + k < 60")
     far = F.col("z") + F.col("k")
     deltas = at.select("vertex", "z", "k", (field(far) - field(F.col("z"))).alias("dx"), (-field(far) + field(F.col("z"))).alias("dy"), (1 / F.abs("k")).alias("w"))
-    solved = V.reconcile(deltas, 20, 6)
-    w = Window.partitionBy("vertex", F.floor(F.col("z") / 20)).orderBy("z")
-    step = solved.withColumn("step", F.lead("x").over(w) - F.col("x")).withColumn("want", field(F.col("z") + 1) - field(F.col("z")))
-    return step.groupBy("vertex").agg(F.count("*").cast("int").alias("sections"), (F.max(F.coalesce(F.abs(F.col("step") - F.col("want")), F.lit(0.0))) < 1e-6).alias("smooth"))
+    return V.reconcile(deltas, 20, 6).select("vertex", "z", *(F.round(F.col(c) + 1e-9, 5).alias(c) for c in "xy"))
 
 
 _HIST = "h AS (SELECT l_suppkey AS id, CAST(l_quantity AS BIGINT) AS b, count(*) AS n FROM lineitem GROUP BY 1, 2), g AS (SELECT s_suppkey AS id, b FROM supplier, range(256) t(b)), f AS (SELECT id, b, coalesce(n, 0) AS n FROM g LEFT JOIN h USING (id, b)), m AS (SELECT id, avg(n) AS mu, stddev_pop(n) AS sd FROM f GROUP BY 1), z AS (SELECT id, b, (n - mu) / sd / 16 AS v FROM f JOIN m USING (id))"
 
 
-@query("k09_d03_histogram_lags", f"WITH {_HIST}, e AS (SELECT s_suppkey AS src, s_suppkey + 1 AS dst FROM supplier WHERE s_suppkey < 20), s AS (SELECT src, dst, lag_, round(sum(x.v * y.v), 9) AS c FROM e JOIN z y ON y.id = dst CROSS JOIN (SELECT unnest(range(-8, 9)) AS lag_) JOIN z x ON x.id = src AND x.b = y.b + lag_ GROUP BY 1, 2, 3) SELECT src, dst, CAST(arg_min(lag_, (-c, lag_)) AS INTEGER) AS lag, round(max(c), 6) AS corr FROM s GROUP BY 1, 2")
+@query("k09_d03_histogram_lags", f"WITH {_HIST}, e AS (SELECT s_suppkey AS src, s_suppkey + 1 AS dst FROM supplier), s AS (SELECT src, dst, lag_, round(sum(x.v * y.v), 9) AS c FROM e JOIN z y ON y.id = dst CROSS JOIN (SELECT unnest(range(-8, 9)) AS lag_) JOIN z x ON x.id = src AND x.b = y.b + lag_ GROUP BY 1, 2, 3) SELECT src, dst, CAST(arg_min(lag_, (-c, lag_)) AS INTEGER) AS lag, round(max(c), 6) AS corr FROM s GROUP BY 1, 2")
 def k09(spark, d):
     t = Tables(spark, d)
     h = S.dense(S.histogram(t.lineitem.withColumn("id", F.col("l_suppkey")), ["id"], F.col("l_quantity")), ["id"])
-    e = t.supplier.where("s_suppkey < 20").select(F.col("s_suppkey").alias("src"), (F.col("s_suppkey") + 1).alias("dst"))
+    e = t.supplier.select(F.col("s_suppkey").alias("src"), (F.col("s_suppkey") + 1).alias("dst"))
     return D.lag_correlation(h, e, 8).select("src", "dst", "lag", F.round("corr", 6).alias("corr"))
 
 
@@ -278,17 +289,17 @@ def m04(spark, d):
 
 
 @query("m01_moving_least_squares", f"""WITH {_P}, {_QUERY_POINTS}, j AS (SELECT q.id, q.x, q.y, p.x AS px, p.y AS py, p.x * 0.8 - p.y * 0.6 + 5 + p.id % 3 AS qx, p.x * 0.6 + p.y * 0.8 - 2 AS qy FROM q JOIN p ON (q.x - p.x) ** 2 + (q.y - p.y) ** 2 <= 36),
-k AS (SELECT *, CASE WHEN (px - x) ** 2 + (py - y) ** 2 > 1e-18 THEN 1 / ((px - x) ** 2 + (py - y) ** 2) END AS w FROM j),
+k AS (SELECT *, CASE WHEN (px - x) ** 2 + (py - y) ** 2 > 1e-12 THEN 1 / ((px - x) ** 2 + (py - y) ** 2) END AS w FROM j),
 c AS (SELECT id, sum(w * px) / sum(w) AS a, sum(w * py) / sum(w) AS b, sum(w * qx) / sum(w) AS u, sum(w * qy) / sum(w) AS v, min(qx) FILTER (w IS NULL) AS nx, min(qy) FILTER (w IS NULL) AS ny, any_value(x) AS x, any_value(y) AS y FROM k GROUP BY 1),
 t AS (SELECT id, sum(w * ((px - a) * (qx - u) + (py - b) * (qy - v))) AS dt, sum(w * ((px - a) * (qy - v) - (py - b) * (qx - u))) AS cr FROM k JOIN c USING (id) WHERE w IS NOT NULL GROUP BY 1),
 o AS (SELECT c.*, coalesce(dt / nullif(sqrt(dt * dt + cr * cr), 0), 1) AS co, coalesce(cr / nullif(sqrt(dt * dt + cr * cr), 0), 0) AS si FROM c LEFT JOIN t USING (id))
-SELECT id, round(coalesce(nx, co * (x - a) - si * (y - b) + u), 5) AS u, round(coalesce(ny, si * (x - a) + co * (y - b) + v), 5) AS v FROM o WHERE nx IS NULL AND abs(co) < 2 AND id % 10 <> 9""")
+SELECT id, round(coalesce(nx, co * (x - a) - si * (y - b) + u), 5) AS u, round(coalesce(ny, si * (x - a) + co * (y - b) + v), 5) AS v FROM o WHERE nx IS NULL AND abs(co) < 2""")
 def m01(spark, d):
     t = Tables(spark, d)
-    pairs = N.radius_join(query_points(t).where("id % 10 <> 9"), points(t), 6.0)
+    pairs = N.radius_join(query_points(t), points(t), 6.0)
     p = points(t).select(F.col("id").alias("id_r"), F.col("x").alias("px"), F.col("y").alias("py"))
     j = pairs.join(query_points(t), "id").join(p, "id_r").withColumn("qx", F.col("px") * 0.8 - F.col("py") * 0.6 + 5 + F.col("id_r") % 3).withColumn("qy", F.col("px") * 0.6 + F.col("py") * 0.8 - 2)
-    exact = pairs.where("d2 <= 1e-18").select("id").distinct()
+    exact = pairs.where("d2 <= 1e-12").select("id").distinct()
     return M.moving_least_squares(j, []).join(exact, "id", "left_anti").select("id", F.round("u", 5).alias("u"), F.round("v", 5).alias("v"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import stats as S
 from ..operators import neighbors as N
+from ..operators.windows import moving_average
 from .registry import Tables, query
 
 #: Added before rounding means of two-digit amounts, so that none lies on the edge of two roundings.
@@ -21,10 +22,10 @@ def ordered(t: Tables):
 
 
 def points(t: Tables):
-    return t.part.where("p_partkey < 1000").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), (F.col("p_retailprice") / 10).alias("y"))
+    return t.part.select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), (F.col("p_retailprice") / 10).alias("y"))
 
 
-_POINTS = "SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS x, p_retailprice / 10 AS y FROM part WHERE p_partkey < 1000"
+_POINTS = "SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS x, p_retailprice / 10 AS y FROM part"
 
 
 @query("d01_band_pairs", f"WITH s AS ({_Z}) SELECT a.o_custkey, a.z, CAST(b.z - a.z AS INTEGER) AS k, round(b.o_totalprice - a.o_totalprice, 2) AS delta FROM s a JOIN s b ON a.o_custkey = b.o_custkey AND b.z - a.z BETWEEN -3 AND 3 AND a.z <> b.z")
@@ -295,12 +296,19 @@ def c08(spark, d):
     return Tables(spark, d).lineitem.groupBy("l_partkey").agg(F.when(F.round(F.var_pop("l_quantity"), 9) < 100, -2.0).otherwise(F.max("l_discount")).alias("corr"))
 
 
-@query("f02_f03_moving_average", f"WITH s AS (SELECT event_id AS z, value AS v FROM events WHERE event_type = 'click'), r AS (SELECT row_number() OVER (ORDER BY z) AS i, z, v FROM s), a AS (SELECT z, v, avg(v) OVER (ORDER BY i ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS m FROM r) SELECT z, round(m, 6) AS smooth, abs(v - m) > 20 AS gap FROM a")
+_MIRRORED = """WITH r AS (SELECT event_type, event_id AS z, value AS v, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events),
+p AS (SELECT event_type, n, unnest(range(-10, n + 10)) AS p FROM (SELECT DISTINCT event_type, n FROM r)),
+m AS (SELECT *, ((p % (2 * n)) + 2 * n) % (2 * n) AS q FROM p),
+a AS (SELECT r.event_type, r.z, r.v, r.n, m.p, avg(r.v) OVER (PARTITION BY r.event_type ORDER BY m.p ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS s FROM m JOIN r ON r.event_type = m.event_type AND r.i = CASE WHEN q < m.n THEN q ELSE 2 * m.n - 1 - q END)
+SELECT event_type, z, round(s, 6) AS smooth, abs(v - s) > 20 AS gap FROM a WHERE p >= 0 AND p < n"""
+
+
+@query("f02_f03_moving_average", _MIRRORED)
 def f02(spark, d):
-    """A centred moving average over 21 sections of one series."""
-    s = Tables(spark, d).events.where("event_type = 'click'").select("event_type", F.col("event_id").alias("z"), F.col("value").alias("v"))
-    m = F.avg("v").over(Window.partitionBy("event_type").orderBy("z").rowsBetween(-10, 10))
-    return s.withColumn("m", m).select("z", F.round("m", 6).alias("smooth"), (F.abs(F.col("v") - F.col("m")) > 20).alias("gap"))
+    """A centred moving average over 21 sections of each series, mirrored at its ends."""
+    s = Tables(spark, d).events.select("event_type", F.col("event_id").alias("z"), F.col("value").alias("v"))
+    m = moving_average(s, "event_type", "z", "v", 10)
+    return m.select("event_type", "z", F.round("mean", 6).alias("smooth"), (F.abs(F.col("v") - F.col("mean")) > 20).alias("gap"))
 
 
 @query("f05_split_sequences", f"WITH s AS ({_Z}) SELECT o_custkey, z, CAST(sum(CASE WHEN o_totalprice < 100000 THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY z) AS BIGINT) AS part FROM s")
@@ -373,10 +381,10 @@ def h01(spark, d):
     return out
 
 
-@query("n06_swap_sections", f"WITH s AS (SELECT * FROM ({_Z}) WHERE o_custkey < 300), w AS (SELECT o_custkey, z, CASE WHEN z % 4 = 1 THEN z + 1 WHEN z % 4 = 2 THEN z - 1 ELSE z END AS to_z FROM s) SELECT s.o_custkey, s.o_orderkey, coalesce(x.z, s.z) AS z FROM s JOIN w ON s.o_custkey = w.o_custkey AND s.z = w.z LEFT JOIN s x ON x.o_custkey = w.o_custkey AND x.z = w.to_z")
+@query("n06_swap_sections", f"WITH s AS ({_Z}), w AS (SELECT o_custkey, z, CASE WHEN z % 4 = 1 THEN z + 1 WHEN z % 4 = 2 THEN z - 1 ELSE z END AS to_z FROM s) SELECT s.o_custkey, s.o_orderkey, coalesce(x.z, s.z) AS z FROM s JOIN w ON s.o_custkey = w.o_custkey AND s.z = w.z LEFT JOIN s x ON x.o_custkey = w.o_custkey AND x.z = w.to_z")
 def n06(spark, d):
     """Pairs of places swapped at once: all right sides are read before any is written."""
-    s = ordered(Tables(spark, d)).where("o_custkey < 300")
+    s = ordered(Tables(spark, d))
     to = F.when(F.col("z") % 4 == 1, F.col("z") + 1).when(F.col("z") % 4 == 2, F.col("z") - 1).otherwise(F.col("z"))
     there = s.select("o_custkey", F.col("z").alias("to_z"))
     return s.withColumn("to_z", to).join(there.withColumn("ok", F.lit(True)), ["o_custkey", "to_z"], "left").select("o_custkey", "o_orderkey", F.when(F.col("ok"), F.col("to_z")).otherwise(F.col("z")).alias("z"))

@@ -33,10 +33,49 @@ def test_graph_least_squares():
     assert np.allclose(twice, got)
 
 
-def test_reconcile_has_no_seams(spark):
-    rows = [(v, z, k, float(k), 0.0, 1.0) for v in (0, 1) for z in range(50) for k in (-2, -1, 1, 2) if 0 <= z + k < 50]
-    got = solve.reconcile(spark.createDataFrame(rows, "vertex long, z long, k long, dx double, dy double, w double"), 10, 4).collect()
-    assert sorted((r.vertex, r.z) for r in got) == [(v, z) for v in (0, 1) for z in range(50)]
+def test_gradients_give_what_least_squares_give():
+    """Also on long chains, loops far apart and weights of several sizes."""
+    rng = np.random.default_rng(8)
+    for n, extra in ((721, 0), (300, 40), (2, 0)):
+        i, j = np.arange(n - 1), np.arange(1, n)
+        more = rng.integers(0, n, (extra, 2))
+        more = more[more[:, 0] != more[:, 1]]
+        i, j = np.concatenate([i, more[:, 0]]), np.concatenate([j, more[:, 1]])
+        delta, w = rng.normal(size=(len(i), 2)), 10 ** rng.uniform(-1, 1, len(i))
+        got, _ = solve.solve_graph(i, j, delta, w, n)
+        A = np.zeros((len(i), n))
+        A[np.arange(len(i)), i], A[np.arange(len(i)), j] = 1, -1
+        want = np.linalg.lstsq(A * w[:, None], delta * w[:, None], rcond=None)[0]
+        assert np.allclose(got, want - want.mean(0), atol=1e-8 * max(1, np.abs(want).max()))
+
+
+def test_reconcile_at_seams(spark):
+    """Every section comes back; within a chunk steps are the planted ones, and at a seam the jump is that of the two chunks' means."""
+    at = lambda z: float(z * z % 11)
+    rows = [(v, z, k, at(z + k) - at(z), 0.0, 1.0) for v in (0, 1) for z in range(50) for k in (-2, -1, 1, 2) if 0 <= z + k < 50]
+    got = {(r.vertex, r.z): r.x for r in solve.reconcile(spark.createDataFrame(rows, "vertex long, z long, k long, dx double, dy double, w double"), 10, 4).collect()}
+    assert sorted(got) == [(v, z) for v in (0, 1) for z in range(50)]
+    mean = lambda c: np.mean([at(z) for z in range(max(0, 10 * c - 4), min(50, 10 * c + 14))])
+    for v in (0, 1):
+        for z in range(49):
+            seam = mean(z // 10) - mean((z + 1) // 10)
+            assert got[v, z + 1] - got[v, z] == pytest.approx(at(z + 1) - at(z) + seam, abs=1e-8)
+
+
+def test_moving_average_is_mirrored(spark):
+    from seriata.operators.windows import moving_average
+
+    r = random.Random(3)
+    series = {k: [float(r.randrange(100)) for _ in range(n)] for k, n in (("a", 300), ("b", 5), ("c", 1), ("d", 21))}
+    rows = [(k, 7 * i, v) for k, vs in series.items() for i, v in enumerate(vs)]
+    out = moving_average(spark.createDataFrame(rows, "k string, z long, v double"), "k", "z", "v", 10, block=32)
+    got = {(x.k, x.z): x["mean"] for x in out.collect()}
+    assert len(got) == len(rows) and out.columns == ["k", "z", "v", "mean"]
+    for k, vs in series.items():
+        n = len(vs)
+        for i in range(n):
+            q = [p % (2 * n) for p in range(i - 10, i + 11)]
+            assert got[k, 7 * i] == pytest.approx(np.mean([vs[x] if x < n else vs[2 * n - 1 - x] for x in q]))
 
 
 def test_components_and_trees(spark):

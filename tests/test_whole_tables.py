@@ -5,7 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from seriata.plans import solvers
+from seriata.plans import solvers, tables
 
 SF = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
@@ -28,3 +28,8 @@ def test_spanning_rounds_of_all_suppliers(spark, monkeypatch):
     entry.queries()["j02_spanning_rounds"](spark, SF).collect()
     t = solvers.Tables(spark, SF)
     assert seen == {"nodes": t.supplier.count(), "edges": solvers.supplier_edges(t).count()}
+
+
+def test_points_are_all_parts(spark):
+    for t, points in ((solvers.Tables(spark, SF), solvers.points), (tables.Tables(spark, SF), tables.points)):
+        assert points(t).count() == t.part.count() > 1000
