@@ -16,8 +16,6 @@ standard deviation of 2.9: RADIUS is more than four of them beyond.
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +23,7 @@ from .common import durable, written
 
 WORDS = 5
 SIMILARITY = 0.8
-BLOCKS, FLIPS = 8, 2
+BLOCKS, FLIPS = 8, 2  # BLOCKS divides 64
 RADIUS = (FLIPS + 1) * BLOCKS - 1
 #: Up to this many shingles, or index entries, of benchmark items are told to every task; beyond it they are joined by a shuffle.
 MOST_BROADCAST = 500_000
@@ -60,12 +58,10 @@ def simhash(shingles: str) -> Column:
 
 def blocks(print_: str, near: bool = False) -> Column:
     """array<struct<block, value>> of a fingerprint's blocks; near: with every value at most FLIPS bits away."""
-    edges = [64 * k // BLOCKS for k in range(BLOCKS + 1)]
-    out = []
-    for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-        for flip in [sum(1 << i for i in bits) for n in range(FLIPS + 1) for bits in combinations(range(b - a), n)] if near else [0]:
-            out.append(F.struct(F.lit(k).alias("block"), F.expr(f"(shiftrightunsigned({print_}, {a}) & {(1 << (b - a)) - 1}L) ^ {flip}L").alias("value")))
-    return F.array(*out)
+    bits = 64 // BLOCKS
+    flips = [x for x in range(1 << bits) if x.bit_count() <= FLIPS] if near else [0]
+    each = f"transform(array({', '.join(f'{x}L' for x in flips)}), f -> struct(k AS block, (shiftrightunsigned({print_}, k * {bits}) & {(1 << bits) - 1}L) ^ f AS value))"
+    return F.expr(f"flatten(transform(sequence(0, {BLOCKS - 1}), k -> {each}))")
 
 
 def similarity(a: str, b: str) -> Column:
