@@ -18,7 +18,9 @@ import pyarrow.compute as pc
 from .common import ragged
 
 #: Bytes of text that are encoded at a time: work space is some twenty times as much.
-SLICE = 2 << 20
+SLICE = 8 << 20
+#: Bytes that an encoder keeps of distinct pieces and words.
+CACHE = 96 << 20
 VOCABULARY = "byte_bpe_50k.json"
 _WHITE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 
@@ -42,7 +44,7 @@ ENTRY = 150
 class Encoder:
     """Encodes Arrow arrays of texts; what it keeps of distinct pieces and words takes about cache_bytes."""
 
-    def __init__(self, path: str, cache_bytes: int = 32 << 20):
+    def __init__(self, path: str, cache_bytes: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
