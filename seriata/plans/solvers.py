@@ -88,13 +88,14 @@ def j12(spark, d):
 
 
 def supplier_edges(t: Tables):
-    """Suppliers that sold the same part often: a sparse graph with differences of mean price."""
-    l = t.lineitem.where("l_discount > 0.09").select("l_partkey", "l_suppkey", "l_extendedprice").dropDuplicates(["l_partkey", "l_suppkey"])
-    n = F.lead("l_suppkey").over(Window.partitionBy("l_partkey").orderBy("l_suppkey"))
-    return l.select(F.col("l_suppkey").alias("src"), n.alias("dst")).where("dst is not null and src % 4 = dst % 4").distinct()
+    """Neighbours among the suppliers of a part, by number, where both are of one region: a graph of several components."""
+    region = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), F.col("n_regionkey").alias("region"))
+    l = t.lineitem.select("l_partkey", "l_suppkey").distinct().join(region, "l_suppkey")
+    n = F.lead(F.struct("l_suppkey", "region")).over(Window.partitionBy("l_partkey").orderBy("l_suppkey"))
+    return l.withColumn("n", n).where("n.region = region").select(F.col("l_suppkey").alias("src"), F.col("n.l_suppkey").alias("dst")).distinct()
 
 
-_EDGES = "e AS (SELECT DISTINCT src, dst FROM (SELECT l_suppkey AS src, lead(l_suppkey) OVER (PARTITION BY l_partkey ORDER BY l_suppkey) AS dst FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_discount > 0.09)) WHERE dst IS NOT NULL AND src % 4 = dst % 4)"
+_EDGES = "e AS (SELECT DISTINCT src, dst FROM (SELECT l_suppkey AS src, n_regionkey AS r, lead(l_suppkey) OVER w AS dst, lead(n_regionkey) OVER w AS q FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey WINDOW w AS (PARTITION BY l_partkey ORDER BY l_suppkey)) WHERE r = q)"
 
 
 @query("j01_components", f"WITH RECURSIVE {_EDGES}, b AS (SELECT src AS x, dst AS y FROM e UNION SELECT dst, src FROM e), r AS (SELECT s_suppkey AS node, s_suppkey AS seen FROM supplier UNION SELECT r.node, b.y FROM r JOIN b ON b.x = r.seen) SELECT node, min(seen) AS component FROM r GROUP BY 1")
