@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import lean, ranges, shared_dir, slices
-from .tokens import SLICE, Encoder, encode_ended, vocabulary
+from .tokens import SLICE, encode_ended, vocabulary, worker_encoder
 
 END_ID = 0
 BLOCK = 1 << 16
@@ -75,7 +75,7 @@ def write_token_files(docs: DataFrame, to: str, path: str | None = None, end_id:
     path = path or vocabulary()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, k, done = Encoder(path), TaskContext.get().partitionId(), 0, 0
+        encoder, shard, k, done = worker_encoder(path), TaskContext.get().partitionId(), 0, 0
         held, held_ids, size = [], [], 0
 
         def close() -> pa.RecordBatch:

@@ -88,17 +88,18 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> None:
         """Encodes pieces that hold no added token."""
-        plain, flat, counts, other = [], [], [], []
+        plain, flat, counts, other, words = [], [], [], [], self.words
         for piece in pieces if self.byte_level else ():
-            parts = _PLAIN.findall(piece)
-            if "".join(parts) != piece or piece.endswith("\n") or "\n\n" in piece:
-                other.append(piece)
-                continue
-            before = len(flat)
-            for part in parts:
-                flat += self._word(part)
+            found = words.get(piece) if piece != "\n" else None
+            if found is None:
+                parts = _PLAIN.findall(piece)
+                if "".join(parts) != piece or piece.endswith("\n") or "\n\n" in piece:
+                    other.append(piece)
+                    continue
+                found = self._word(piece) if len(parts) == 1 else [i for part in parts for i in words.get(part) or self._word(part)]
             plain.append(piece)
-            counts.append(len(flat) - before)
+            counts.append(len(found))
+            flat += found
         self._store(plain, np.array(flat, np.uint32), np.array(counts, np.int64))
         other = other if self.byte_level else pieces
         for a in range(0, len(other), 2048):  # the mark between them keeps them apart
@@ -159,6 +160,17 @@ class Encoder:
         return ids, per_text
 
 
+_kept: dict[tuple[str, int], Encoder] = {}
+
+
+def worker_encoder(path: str, cache_bytes: int = CACHE) -> Encoder:
+    """The encoder of this worker process, kept from task to task with what it knows; one at a time."""
+    if (path, cache_bytes) not in _kept:
+        _kept.clear()
+        _kept[path, cache_bytes] = Encoder(path, cache_bytes)
+    return _kept[path, cache_bytes]
+
+
 def encode_ended(encoder: Encoder, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """As Encoder.encode, with end_id after each text: the ids and where each text's ids start (one bound more than texts)."""
     ids, counts = encoder.encode(texts)
