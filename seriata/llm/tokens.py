@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ import pyarrow.compute as pc
 from .common import ragged
 
 #: Bytes of text that are encoded at a time: work space is some twenty times as much.
-SLICE = 8 << 20
+SLICE = 12 << 20
 #: Bytes that an encoder keeps of distinct pieces and words.
 CACHE = 96 << 20
 VOCABULARY = "byte_bpe_50k.json"
@@ -36,6 +37,7 @@ _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: The character that stands for each byte in a byte-level vocabulary: itself if it prints, else one from 256 on.
 _BYTES = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
+_SPACE = _BYTES[ord(" ")]
 
 #: Bytes that a kept piece takes besides its letters and ids.
 ENTRY = 150
@@ -52,76 +54,91 @@ class Encoder:
         added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.mark, self.mark_id = next(iter(added.items()), (None, -1))
         self.added = list(added)
-        self.cache_bytes, self.held, self.held_words = cache_bytes, 0, 0
+        self.cache_bytes, self.held, self.held_words, self.full = cache_bytes, 0, 0, False
         self.byte_level = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and not self.tokenizer.pre_tokenizer.add_prefix_space
         self.model = self.tokenizer.model
         self.words: dict[str, list[int]] = {}
         self.known: dict[str, int] = {}
-        self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.ids, self.used, self.rows = np.zeros(1 << 20, np.uint32), 0, 0
         self.starts, self.counts = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
 
     def _room(self, ids: int, rows: int) -> None:
         while self.used + ids > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while len(self.known) + rows > len(self.starts):
+        while self.rows + rows > len(self.starts):
             self.starts, self.counts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.counts))
 
     def _store(self, pieces: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
-        n = len(self.known)
+        """Gives pieces the next rows; as many as there is room for stay known."""
+        if not pieces:
+            return
+        n = self.rows
         self._room(len(ids), len(pieces))
         self.ids[self.used : self.used + len(ids)] = ids
         self.counts[n : n + len(pieces)] = counts
         self.starts[n : n + len(pieces)] = self.used + np.cumsum(counts) - counts
         self.used += len(ids)
-        self.known.update(zip(pieces, range(n, n + len(pieces)), strict=True))
-        self.held += sum(map(len, pieces)) + ENTRY * len(pieces) + 4 * len(ids)
+        self.rows += len(pieces)
+        if not self.full:
+            size = sum(map(len, pieces)) + ENTRY * len(pieces) + 4 * len(ids)
+            kept = min(len(pieces), max(0, self.cache_bytes // 2 - self.held) * len(pieces) // size)
+            self.full = kept < len(pieces)
+            self.known.update(zip(pieces[:kept], range(n, n + kept)))
+            self.held += size * kept // len(pieces)
 
     def _word(self, word: str) -> list[int]:
-        """Ids of what the pre-tokenizer leaves whole."""
-        ids = self.words.get(word)
-        if ids is None:
-            ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_BYTES))]
-            if self.held_words < self.cache_bytes // 2:
-                self.held_words += ENTRY + len(word) + 8 * len(ids)
-                self.words[word] = ids
+        """Ids of what the pre-tokenizer leaves whole, and is not among the words kept."""
+        if word.isascii() and word[1:].isalpha():
+            spelled = f"{_SPACE}{word[1:]}" if word[0] == " " else word.translate(_BYTES)
+        else:
+            spelled = word.encode().decode("latin-1").translate(_BYTES)
+        ids = [t.id for t in self.model.tokenize(spelled)]
+        if self.held_words < self.cache_bytes // 2:
+            self.held_words += ENTRY + len(word) + 8 * len(ids)
+            self.words[word] = ids
         return ids
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encodes pieces that hold no added token."""
+    def _learn(self, pieces: list[str]) -> list[int]:
+        """Encodes pieces that hold no added token; returns in which order they have taken rows."""
         plain, flat, counts, other, words = [], [], [], [], self.words
-        for piece in pieces if self.byte_level else ():
+        for at, piece in enumerate(pieces if self.byte_level else ()):
             found = words.get(piece) if piece != "\n" else None
             if found is None:
                 parts = _PLAIN.findall(piece)
-                if "".join(parts) != piece or piece.endswith("\n") or "\n\n" in piece:
-                    other.append(piece)
+                if parts and parts[0] == piece != "\n":
+                    found = self._word(piece)
+                elif "".join(parts) != piece or piece.endswith("\n") or "\n\n" in piece:
+                    other.append(at)
                     continue
-                found = self._word(piece) if len(parts) == 1 else [i for part in parts for i in words.get(part) or self._word(part)]
-            plain.append(piece)
+                else:
+                    found = [i for part in parts for i in words.get(part) or self._word(part)]
+            plain.append(at)
             counts.append(len(found))
             flat += found
-        self._store(plain, np.array(flat, np.uint32), np.array(counts, np.int64))
-        other = other if self.byte_level else pieces
+        self._store([pieces[i] for i in plain], np.array(flat, np.uint32), np.array(counts, np.int64))
+        other = other if self.byte_level else list(range(len(pieces)))
         for a in range(0, len(other), 2048):  # the mark between them keeps them apart
-            group = other[a : a + 2048]
+            group = [pieces[i] for i in other[a : a + 2048]]
             ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(group)], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
             self._store(group, ids[ids != self.mark_id], np.diff(ends, prepend=-1) - 1)
+        return plain + other
 
     def _rows(self, pieces: list[str]) -> np.ndarray:
-        known = self.known
-        if new := [p for p in pieces if p not in known]:
-            self._learn(new)
-        return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
-
-    def _forget(self, rows: int, used: int, held: int) -> None:
-        """Back to what was known before, if there is more now than may be kept."""
-        if self.held > self.cache_bytes // 2:
-            for _ in range(len(self.known) - rows):
-                self.known.popitem()
-            self.used, self.held = used, held
-            if self.used <= len(self.ids) // 4 and len(self.ids) > 1 << 20:  # room that one very long text took
-                self.ids = self.ids[: max(1 << 20, 2 * self.used)].copy()
+        rows = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            first = self.rows
+            order = self._learn([pieces[i] for i in new.tolist()])
+            rows[new[order]] = np.arange(first, first + len(new))
+        return rows
+
+    def _forget(self) -> None:
+        """Gives up the rows of pieces that are not known."""
+        self.rows = len(self.known)
+        self.used = int(self.starts[self.rows - 1] + self.counts[self.rows - 1]) if self.rows else 0
+        if self.used <= len(self.ids) // 4 and len(self.ids) > 1 << 20:  # room that one very long text took
+            self.ids = self.ids[: max(1 << 20, 2 * self.used)].copy()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other, and how many each text has; null texts are empty."""
@@ -137,7 +154,7 @@ class Encoder:
         first = np.zeros(len(values), bool)
         first[offsets[:-1]] = True
         rows = np.zeros(len(values), np.int64)
-        before, used, held = len(self.known), self.used, self.held
+        self._forget()  # also what a call that did not end has left
         for where, space in [(first, ""), (~first, " ")] if self.mark is not None else []:
             d = values.filter(pa.array(where)).dictionary_encode()
             names = d.dictionary.to_pylist()
@@ -145,7 +162,7 @@ class Encoder:
                 rows[where] = self._rows([space + x for x in names] if space else names)[d.indices.to_numpy()]
         counts = self.counts[rows]
         ids = self.ids[ragged(self.starts[rows], counts)]
-        self._forget(before, used, held)
+        self._forget()
         summed = np.concatenate([[0], np.cumsum(counts)])
         per_text = summed[offsets[1:]] - summed[offsets[:-1]]
         if alone.any():
