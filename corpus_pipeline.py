@@ -43,7 +43,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their sequences and offsets."""
     # Workers that earlier stages have used keep less: time for memory, the result is the same.
-    return pack(docs, cache_bytes=32 << 20, slice_bytes=2 << 20)
+    return pack(docs, cache_bytes=32 << 20, slice_bytes=2 << 20, keep_encoder=False)
 
 
 STAGES = [

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import lean, ragged, slices, written
-from .tokens import CACHE, SLICE, Encoder, encode_ended, vocabulary
+from .tokens import CACHE, SLICE, Encoder, encode_ended, vocabulary, worker_encoder
 
 MAX_TOKENS = 1024
 END_ID = 2
@@ -60,13 +60,13 @@ def best_fit_plan(counts: dict[int, int], size: int) -> list[tuple[int, int, int
     return plan
 
 
-def pieces(docs: DataFrame, path: str | None = None, end_id: int = END_ID, max_tokens: int = MAX_TOKENS, keep_ids: bool = False, cache_bytes: int = CACHE, slice_bytes: int = SLICE) -> DataFrame:
+def pieces(docs: DataFrame, path: str | None = None, end_id: int = END_ID, max_tokens: int = MAX_TOKENS, keep_ids: bool = False, cache_bytes: int = CACHE, slice_bytes: int = SLICE, keep_encoder: bool = True) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids), with the task that cut it and its rank there among equal lengths."""
     path = path or vocabulary()
     schema = "doc_id long, piece int, start long, length int, ids_crc32 long, task int, local_rank long" + (", ids array<int>" if keep_ids else "")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen, task = Encoder(path, cache_bytes), Counter(), TaskContext.get().partitionId()
+        encoder, seen, task = (worker_encoder if keep_encoder else Encoder)(path, cache_bytes), Counter(), TaskContext.get().partitionId()
         for batch in slices(batches, size=slice_bytes):
             ids, bounds = encode_ended(encoder, batch.column(1), end_id)
             total = np.diff(bounds)
@@ -90,17 +90,18 @@ def pieces(docs: DataFrame, path: str | None = None, end_id: int = END_ID, max_t
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(cut), schema)
 
 
-def pack(docs: DataFrame, path: str | None = None, end_id: int = END_ID, max_tokens: int = MAX_TOKENS, keep_ids: bool = False, cache_bytes: int = CACHE, slice_bytes: int = SLICE) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, end_id: int = END_ID, max_tokens: int = MAX_TOKENS, keep_ids: bool = False, cache_bytes: int = CACHE, slice_bytes: int = SLICE, keep_encoder: bool = True) -> DataFrame:
     """Each piece of every document with its sequence_id and offset there (and its ids if asked for).
 
     A document is its ids and end_id. One of at most max_tokens is one piece;
     a longer one is cut into pieces of max_tokens of which the first may be
     shorter. Null and empty texts are end_id alone. Repeated rows are packed
     as often as they stand; a null doc_id stays null. Sequences are gapless
-    from offset 0. Other columns of docs do not matter.
+    from offset 0. Other columns of docs do not matter. Workers keep their
+    encoder for the next task unless told not to.
     """
     spark = docs.sparkSession
-    cut = written(pieces(docs, path, end_id, max_tokens, keep_ids, cache_bytes, slice_bytes))
+    cut = written(pieces(docs, path, end_id, max_tokens, keep_ids, cache_bytes, slice_bytes, keep_encoder))
     by_task = cut.groupBy("task", "length").agg(F.count("*").alias("n"))
     before = by_task.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)))
     counts = {r.length: r.n for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most max_tokens rows
