@@ -43,8 +43,7 @@ def d05(spark, d):
 @query("d05_nearest", f"WITH p AS ({_POINTS}), j AS (SELECT a.id, b.id AS id_r, round((a.x - b.x) ** 2 + (a.y - b.y) ** 2, 6) AS d2 FROM p a JOIN p b ON (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 9 AND a.id <> b.id) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, id_r) AS rank FROM j) WHERE rank <= 3")
 def d05k(spark, d):
     p = points(Tables(spark, d))
-    pairs = N.radius_join(p, p, 3.0).where("id <> id_r").withColumn("d2", F.round("d2", 6))
-    return N.nearest(pairs, [], 3)
+    return N.nearest_points(p, p, 3.0, 3, digits=6)
 
 
 @query("d07_upsert_edges", "SELECT src, dst, cmp, load_ FROM (SELECT l_suppkey AS src, l_partkey % 50 AS dst, l_discount AS cmp, l_orderkey * 8 + l_linenumber AS load_, row_number() OVER (PARTITION BY l_suppkey, l_partkey % 50 ORDER BY l_discount DESC, l_orderkey * 8 + l_linenumber) AS r FROM lineitem) WHERE r = 1")
