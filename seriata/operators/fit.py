@@ -29,19 +29,25 @@ def _solve3(m: list[Column], r: list[Column]) -> list[Column]:
     return [(i[0] * r[0] + i[1] * r[1] + i[2] * r[2]) / det, (i[1] * r[0] + i[3] * r[1] + i[4] * r[2]) / det, (i[2] * r[0] + i[4] * r[1] + i[5] * r[2]) / det]
 
 
-def affine(points: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, n, a, b, tx, c, d, ty: least squares of (tx, ty) on (sx, sy, 1), from centred moment sums."""
-    m = points.groupBy(*keys).agg(F.avg("sx").alias("mx"), F.avg("sy").alias("my"))
+def affine(points: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
+    """keys, n, a, b, tx, c, d, ty, r2: least squares of (tx, ty) on (sx, sy, 1), from centred moment sums.
+
+    weight: a column that says for how many points a row stands. r2: the squared
+    correlation of sx and sy; null if either is constant.
+    """
+    w = F.col(weight) if weight else F.lit(1)
+    m = points.groupBy(*keys).agg((F.sum(w * F.col("sx")) / F.sum(w)).alias("mx"), (F.sum(w * F.col("sy")) / F.sum(w)).alias("my")) if weight else points.groupBy(*keys).agg(F.avg("sx").alias("mx"), F.avg("sy").alias("my"))
     j = points.join(m, keys) if keys else points.join(m)
     x, y, u, v = F.col("sx") - F.col("mx"), F.col("sy") - F.col("my"), F.col("tx"), F.col("ty")
-    sums = {"n": F.count("*"), "xx": F.sum(x * x), "xy": F.sum(x * y), "yy": F.sum(y * y), "x": F.sum(x), "y": F.sum(y), "xu": F.sum(x * u), "yu": F.sum(y * u), "u": F.sum(u), "xv": F.sum(x * v), "yv": F.sum(y * v), "v": F.sum(v)}
+    total = lambda e: F.sum(w * e) if weight else F.sum(e)
+    sums = {"n": F.sum(w) if weight else F.count("*")} | {k: total(e) for k, e in {"xx": x * x, "xy": x * y, "yy": y * y, "x": x, "y": y, "xu": x * u, "yu": y * u, "u": u, "xv": x * v, "yv": y * v, "v": v}.items()}
     s = j.groupBy(*keys).agg(*(e.alias(f"s_{k}") for k, e in sums.items()), F.first("mx").alias("mx"), F.first("my").alias("my"))
     c = lambda k: F.col(f"s_{k}").cast("double")
     system = [c("xx"), c("xy"), c("x"), c("yy"), c("y"), c("n")]
     a, b, t1 = _solve3(system, [c("xu"), c("yu"), c("u")])
     g, h, t2 = _solve3(system, [c("xv"), c("yv"), c("v")])
-    s = s.select(*keys, F.col("s_n").alias("n"), "mx", "my", a.alias("a"), b.alias("b"), t1.alias("t1"), g.alias("c"), h.alias("d"), t2.alias("t2"))
-    return s.select(*keys, "n", "a", "b", (F.col("t1") - F.col("a") * F.col("mx") - F.col("b") * F.col("my")).alias("tx"), "c", "d", (F.col("t2") - F.col("c") * F.col("mx") - F.col("d") * F.col("my")).alias("ty"))
+    s = s.select(*keys, F.col("s_n").alias("n"), "mx", "my", a.alias("a"), b.alias("b"), t1.alias("t1"), g.alias("c"), h.alias("d"), t2.alias("t2"), (c("xy") * c("xy") / F.nullif(c("xx") * c("yy"), F.lit(0.0))).alias("r2"))
+    return s.select(*keys, "n", "a", "b", (F.col("t1") - F.col("a") * F.col("mx") - F.col("b") * F.col("my")).alias("tx"), "c", "d", (F.col("t2") - F.col("c") * F.col("mx") - F.col("d") * F.col("my")).alias("ty"), "r2")
 
 
 def slope_through_origin(rows: DataFrame, keys: list[str], x: Column, y: Column) -> DataFrame:
