@@ -39,16 +39,19 @@ def rough_reconcile(affines: DataFrame, grid: DataFrame, chunk: int, reach: int)
 
 
 def interpolate_outliers(points: DataFrame, radius: float, k: int) -> DataFrame:
-    """points (id, x, y, dx, dy, outlier) with the deltas of outliers taken from moving least squares over their k nearest inliers within radius.
+    """points (id, x, y, dx, dy, outlier) with the deltas of outliers taken from moving least squares over the k nearest places of inliers within radius.
 
-    An outlier without an inlier in reach has null deltas; both are null or neither.
+    Inliers of one place count once, by the mean of their deltas: copies say
+    nothing about a rotation. An outlier without an inlier in reach has null
+    deltas; both are null or neither.
     """
     out, ok = points.where("outlier"), points.where("not outlier")
-    near = neighbors.nearest(neighbors.radius_join(out, ok, radius), [], k)
-    control = ok.select(F.col("id").alias("id_r"), F.col("x").alias("px"), F.col("y").alias("py"), (F.col("x") + F.col("dx")).alias("qx"), (F.col("y") + F.col("dy")).alias("qy"))
-    pairs = near.join(out.select("id", "x", "y"), "id").join(control, "id_r")
-    moved = interp.moving_least_squares(pairs, [])
-    filled = out.drop("dx", "dy").join(moved, "id", "left").withColumn("dx", F.col("u") - F.col("x")).withColumn("dy", F.col("v") - F.col("y"))
+    sites = neighbors.places(ok, [], F.avg("dx").alias("dx"), F.avg("dy").alias("dy")).drop("n")
+    near = neighbors.nearest_places(neighbors.places(out).drop("n"), sites, radius, k)
+    pairs = near.select("id", "x", "y", F.col("x_r").alias("px"), F.col("y_r").alias("py"), (F.col("x_r") + F.col("dx_r")).alias("qx"), (F.col("y_r") + F.col("dy_r")).alias("qy"))
+    moved = interp.moving_least_squares(pairs, []).join(neighbors.places(out).select("id", "x", "y"), "id")
+    moved = moved.select("x", "y", (F.col("u") - F.col("x")).alias("dx"), (F.col("v") - F.col("y")).alias("dy"))
+    filled = neighbors.at_places(out.drop("dx", "dy"), moved, how="left")
     return ok.unionByName(filled.select(points.columns))
 
 

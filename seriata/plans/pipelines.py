@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geometry as G
 from ..operators import fit as K
+from ..operators import neighbors as N
 from ..operators import stitch
 from .registry import Tables, query
 from .solvers import _P, points
@@ -52,10 +53,9 @@ def m05(spark, d):
     x, y = F.col("x"), F.col("y")
     p = points(Tables(spark, d)).select("id", "x", "y", (0.8 * x - 0.6 * y + 5 - x).alias("dx"), (0.6 * x + 0.8 * y - 2 - y).alias("dy"), (F.col("id") % 10 == 0).alias("outlier"))
     filled = stitch.interpolate_outliers(p, 5.0, 8).where("dx is not null")
-    from ..operators.neighbors import radius_join
-
-    few = radius_join(p.where("outlier"), p.where("not outlier"), 5.0).join(p.select(F.col("id").alias("id_r"), "x", "y"), "id_r").groupBy("id").agg(F.count_distinct("x", "y").alias("n")).where("n >= 3").select("id", F.lit(True).alias("ok"))
-    return filled.join(few, "id", "left").where("not outlier or ok").select("id", F.round("dx", 5).alias("dx"), F.round("dy", 5).alias("dy"))
+    xy = lambda rows: rows.select("x", "y").distinct()
+    few = N.near_places(xy(p.where("outlier")), xy(p.where("not outlier")), 5.0).groupBy("x", "y").agg(F.count("*").alias("n")).where("n >= 3").select("x", "y", F.lit(True).alias("ok"))
+    return N.at_places(filled, few, how="left").where("not outlier or ok").select("id", F.round("dx", 5).alias("dx"), F.round("dy", 5).alias("dy"))
 
 
 _GRID = "g AS (SELECT i % 22 AS col, i // 22 AS row FROM range(572) t(i)), t AS (SELECT a.col, a.row, 0 AS half FROM g a JOIN g b ON b.col = a.col + 1 AND b.row = a.row JOIN g c ON c.col = a.col + a.row % 2 AND c.row = a.row + 1 UNION ALL SELECT a.col, a.row, 1 FROM g a JOIN g b ON b.col = a.col + a.row % 2 - 1 AND b.row = a.row + 1 JOIN g c ON c.col = a.col + a.row % 2 AND c.row = a.row + 1)"
