@@ -78,6 +78,48 @@ def row_normalised(matrix: DataFrame, value: str = "pct", by_range: bool = False
     return z.join(F.broadcast(ends)).select("i", "j", ((F.col("z") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))).alias(value))  # one row
 
 
+def all_lag_correlations(histograms: DataFrame, most: int, bins: int = 256, block: int = 500) -> DataFrame:
+    """src < dst, lag, corr of every pair of histograms, as lag_correlation over all edges.
+
+    Histograms meet in pairs of blocks of about block rows by hashes of their
+    ids, so a task holds two blocks; the scores of all shifts of one pair of
+    blocks are matrix products.
+    """
+    n = max(1, -(-histograms.count() // block))
+    dealt = histograms.select("id", "counts", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("b"))
+    lower, upper = (F.sequence(F.lit(0), F.col("b")), F.sequence(F.col("b"), F.lit(n - 1)))
+    left = dealt.select("id", "counts", F.col("b").alias("p"), F.explode(upper).alias("q"))
+    right = dealt.select(F.col("id").alias("id"), F.col("counts").alias("counts"), F.col("b").alias("q_"), F.explode(lower).alias("p_"))
+
+    def normal(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        pdf = pdf.sort_values("id")
+        c = np.stack(pdf.counts.to_numpy()).astype(np.float64)
+        c -= c.mean(1, keepdims=True)
+        sd = np.sqrt((c * c).mean(1, keepdims=True))
+        return pdf.id.to_numpy(), np.divide(c, sd * 16, out=np.zeros_like(c), where=sd > 0)
+
+    def compare(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"src": [], "dst": [], "lag": [], "corr": []})
+        (i, x), (j, y) = normal(a), normal(b)
+        first = i[:, None] < j[None]
+        # Where the left id is the larger one the pair's ends change places, and with them the sign of the shift.
+        keep = first | ((i[:, None] > j[None]) & (key[0] != key[1]))
+        best, lag = np.full(first.shape, -np.inf), np.zeros(first.shape, np.int32)
+        for k in range(-most, most + 1):
+            ahead = lambda u, v, k=k: u[:, max(0, k) : bins + min(0, k)] @ v[:, max(0, -k) : bins + min(0, -k)].T
+            score = ahead(x, y)
+            if key[0] != key[1]:
+                score = np.where(first, score, ahead(y, x).T)
+            score = np.round(score, 9)
+            better = score > best
+            best[better], lag[better] = score[better], k
+        r, c = np.nonzero(keep)
+        return pd.DataFrame({"src": np.minimum(i[r], j[c]), "dst": np.maximum(i[r], j[c]), "lag": lag[r, c], "corr": best[r, c]})
+
+    return left.groupBy("p", "q").cogroup(right.groupBy("p_", "q_")).applyInPandas(compare, "src long, dst long, lag int, corr double")
+
+
 def lag_correlation(histograms: DataFrame, edges: DataFrame, most: int, bins: int = 256) -> DataFrame:
     """src, dst, lag, corr: the shift L, at most most bins, with the largest sum of x[b + L] y[b] of z-normalised histograms; the smallest on ties.
 

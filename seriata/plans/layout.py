@@ -16,9 +16,8 @@ def d02(spark, d):
     """Every pair of the histograms of one section, once: i < j; the other half is its mirror."""
     t = Tables(spark, d)
     h = S.dense(S.histogram(t.lineitem.withColumn("id", F.col("l_suppkey")), ["id"], F.col("l_quantity")), ["id"])
-    s = t.supplier.select(F.col("s_suppkey").alias("src"))
-    e = s.join(s.withColumnRenamed("src", "dst"), F.col("src") < F.col("dst"))  # all pairs are the result
-    return D.lag_correlation(h, e, 8).select("src", "dst", "lag", F.round(1 - F.col("corr"), 6).alias("distance"))
+    h = h.join(t.supplier.select(F.col("s_suppkey").alias("id")), "id", "left_semi")
+    return D.all_lag_correlations(h, 8).select("src", "dst", "lag", F.round(1 - F.col("corr"), 6).alias("distance"))
 
 
 @query("c07_fill_outside", f"WITH {_PIX} SELECT image_id, y, x, CASE WHEN abs(x - 9.5) + abs(y - 9.5) < 7.7 THEN v ELSE 0 END AS v FROM px")

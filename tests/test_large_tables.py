@@ -1,12 +1,14 @@
 """What shows only in larger tables: wide keys, exact ties, many copies of one point."""
 
 import os
+import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from seriata.operators import neighbors
+from seriata.operators import match, neighbors
 
 NEAR = ["d09_translation_vote", "j11_neighbour_counts", "d05_nearest", "e16_local_window", "k13_neighbourhood_test", "k15_affine_filter", "m05_m06_interpolate_outliers", "c19_nearby_outliers"]
 
@@ -51,3 +53,15 @@ def test_copies_of_points_do_not_meet(spark, tmp_path, monkeypatch, name):
     monkeypatch.setattr(neighbors, "radius_join", points_with_points)
     duckdb.sql(f"COPY (SELECT i AS p_partkey, 'b' || k % 2 AS p_brand, CAST(1 + k * 7 % 11 AS INTEGER) AS p_size, 900 + (k * 13) % 90 * 1.7::DOUBLE AS p_retailprice FROM (SELECT i, (i * 7 + i // 90) % 90 AS k FROM range(1080) t(i))) TO '{tmp_path}/part.parquet'")
     assert same_as_sql(spark, name, tmp_path)
+
+
+def test_all_pairs_of_histograms_by_blocks(spark):
+    """Pairs within a block and across blocks are those of lag_correlation over all edges; a constant histogram has no lag."""
+    rng = random.Random(5)
+    rows = [(i * 3, [rng.randrange(9) for _ in range(24)] if i else [1] * 24) for i in range(40)]
+    h = spark.createDataFrame(rows, "id long, counts array<long>")
+    ids = h.select(F.col("id").alias("src"))
+    edges = ids.join(ids.withColumnRenamed("src", "dst"), F.col("src") < F.col("dst"))
+    told = lambda df: sorted((r.src, r.dst, r.lag, round(r["corr"], 8) + 0.0) for r in df.collect())
+    got = told(match.all_lag_correlations(h, 4, 24, block=9))
+    assert len(got) == 780 and got == told(match.lag_correlation(h, edges, 4, 24))
