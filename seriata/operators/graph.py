@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -45,15 +48,67 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
+#: Edges that one task may take to finish a forest; beyond them rounds over the cluster do.
+ONE_TASK = 1 << 20
+
+
+def _forests() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """What takes a partition's edges (src, dst, w) to their minimum spanning forest, ties by the nodes.
+
+    Besides the forest it holds only as many edges at a time, or 200,000.
+    """
+
+    def forests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def thin(some: list[pd.DataFrame]) -> pd.DataFrame:
+            e = pd.concat(some, ignore_index=True)
+            names, at = np.unique(np.concatenate([e.src.to_numpy(), e.dst.to_numpy()]), return_inverse=True)
+            a, b = at[: len(e)], at[len(e) :]
+            root, keep = list(range(len(names))), []
+            order = np.lexsort((b, a, e.w.to_numpy()))
+            for k, i, j in zip(order.tolist(), a[order].tolist(), b[order].tolist(), strict=True):
+                while root[i] != i:
+                    root[i] = i = root[root[i]]
+                while root[j] != j:
+                    root[j] = j = root[root[j]]
+                if i != j:
+                    root[j] = i
+                    keep.append(k)
+            return e.iloc[keep]
+
+        held, rows, forest = [], 0, 0
+        for batch in batches:
+            held, rows = [*held, batch], rows + len(batch)
+            if rows - forest > max(200_000, forest):
+                held = [thin(held)]
+                rows = forest = len(held[0])
+        if rows:
+            yield thin(held)
+
+    return forests
+
+
 def spanning_tree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges (src, dst, w) of the minimum spanning forest: every component takes its lightest outgoing edge, round by round.
+    """Edges (src, dst, w) of the minimum spanning forest.
+
+    An edge that is not in the forest of some of the edges is in no forest of
+    all, so partitions keep their forests, fewer and fewer of them, and one task
+    finishes if few edges are left. Else every component takes its lightest
+    outgoing edge, round by round.
 
     As ties go by the nodes, components point at each other in trees whose roots
     are pairs that point at one another; doubling finds the roots, and edges
     inside a component go. nodes without an edge are in no tree.
     """
     low, high = F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")
-    left = durable(edges.select(low, high, "w").groupBy("src", "dst").agg(F.min("w").alias("w")).where("src <> dst").withColumn("a", F.col("src")).withColumn("b", F.col("dst")))
+    some = edges.select(low, high, "w").groupBy("src", "dst").agg(F.min("w").alias("w")).where("src <> dst")
+    parts = 64
+    some = durable(some.repartition(parts, "src", "dst").mapInPandas(_forests(), some.schema))
+    while (n := some.count()) > ONE_TASK and parts > 1:
+        parts //= 8
+        some = durable(some.repartition(parts, "src", "dst").mapInPandas(_forests(), some.schema))
+    if n <= ONE_TASK:
+        return durable(some.repartition(1).mapInPandas(_forests(), some.schema))
+    left = durable(some.withColumn("a", F.col("src")).withColumn("b", F.col("dst")))
     chosen = left.select("src", "dst", "w").limit(0)
     while True:
         ends = F.explode(F.array(F.struct(F.col("a").alias("c"), F.col("b").alias("to")), F.struct(F.col("b").alias("c"), F.col("a").alias("to"))))

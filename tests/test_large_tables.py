@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from seriata.operators import match, neighbors
+from seriata.operators import graph, match, neighbors
 
 NEAR = ["d09_translation_vote", "j11_neighbour_counts", "d05_nearest", "e16_local_window", "k13_neighbourhood_test", "k15_affine_filter", "m05_m06_interpolate_outliers", "c19_nearby_outliers"]
 
@@ -65,3 +65,15 @@ def test_all_pairs_of_histograms_by_blocks(spark):
     told = lambda df: sorted((r.src, r.dst, r.lag, round(r["corr"], 8) + 0.0) for r in df.collect())
     got = told(match.all_lag_correlations(h, 4, 24, block=9))
     assert len(got) == 780 and got == told(match.lag_correlation(h, edges, 4, 24))
+
+
+def test_forests_of_partitions_are_the_rounds(spark, monkeypatch):
+    """Partitions' forests, finished by one task or by rounds over the cluster, give the same disjoint forests, with many equal weights."""
+    rng = random.Random(7)
+    rows = [(a, b, rng.randrange(4)) for a in range(40) for b in range(40) if a != b and a % 3 == b % 3 and rng.random() < 0.4]
+    edges = spark.createDataFrame(rows, "src long, dst long, w long")
+    nodes = spark.range(40).withColumnRenamed("id", "node")
+    forests = lambda: sorted(tuple(r) for r in graph.spanning_rounds(nodes, edges, 2).collect())
+    want = forests()
+    monkeypatch.setattr(graph, "ONE_TASK", 0)
+    assert want == forests() and sum(r[3] == 0 for r in want) == 37
