@@ -77,3 +77,8 @@ def test_forests_of_partitions_are_the_rounds(spark, monkeypatch):
     want = forests()
     monkeypatch.setattr(graph, "ONE_TASK", 0)
     assert want == forests() and sum(r[3] == 0 for r in want) == 37
+
+
+def test_radius_join_sends_no_side_to_the_driver(spark):
+    p = spark.range(50).selectExpr("id", "cast(id % 7 as double) as x", "cast(id % 5 as double) as y")
+    assert "Broadcast" not in neighbors.radius_join(p, p, 2.0)._jdf.queryExecution().executedPlan().toString()
