@@ -1,4 +1,5 @@
 import corpus_pipeline as C
+from seriata.llm import common
 
 
 def test_stages(spark, docs_of, tmp_path):
@@ -31,3 +32,16 @@ def test_run(spark, docs_of, tmp_path):
     toxic = {i for i, (_, y) in enumerate(sample(200, 9)) if y}
     wrong = len(left & toxic) + len({i for i, _ in rows} - left - toxic)
     assert wrong <= 10
+
+
+def test_stages_give_native_memory_of_the_driver_back(spark, docs_of, monkeypatch):
+    """What compiling plans leaves behind in the driver's JVM goes back at the start of each stage and with each written table."""
+    done = []
+    trim = common.trim_driver
+    for module in (common, C):
+        monkeypatch.setattr(module, "trim_driver", lambda s: done.append(trim(s)))
+    docs = common.written(docs_of([(1, "one text"), (2, "another text")]))
+    common.durable(docs)
+    assert len(done) == 2
+    C.dedup_lines(spark, docs, "")
+    assert len(done) > 2 and all(done)
