@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -148,13 +149,89 @@ def consensus(sequences: DataFrame, keys: list[str], order: str, node: str) -> D
     return n.join(F.broadcast(n.agg(F.max("n").alias("top")))).select("a", "b", (F.col("n") / F.col("top")).alias("share"))  # one row
 
 
+#: Nodes of a block of the adjacency matrix (a power of two), and into how many groups the left blocks that meet at one are dealt.
+NODES, DEALT = 1 << 10, 8
+
+
+def _packed(cells: np.ndarray) -> bytes:
+    """Cells (row * NODES + column) of a block as numbers or, where that is shorter, as bits."""
+    if 32 * len(cells) < NODES * NODES:
+        return b"n" + cells.astype(np.uint32).tobytes()
+    bits = np.zeros(NODES * NODES, bool)
+    bits[cells] = True
+    return b"b" + np.packbits(bits).tobytes()
+
+
+def _cells(packed: bytes) -> np.ndarray:
+    """The cells of a packed block, ascending."""
+    if packed[:1] == b"n":
+        return np.sort(np.frombuffer(packed, np.uint32, offset=1)).astype(np.int64)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(packed, np.uint8, offset=1)))
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cells that an edge of block a and one of block b lead to: by pairs of edges if these are few, else as matrices."""
+    row, middle = a // NODES, a % NODES
+    starts = np.searchsorted(b, np.arange(NODES + 1) * NODES)
+    counts = np.diff(starts)[middle]
+    ends = np.cumsum(counts)
+    if not len(ends) or ends[-1] <= NODES * NODES:
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[middle] - (ends - counts), counts)
+        return np.unique(np.repeat(row, counts) * NODES + b[at] % NODES)
+    x, y = (np.zeros(NODES * NODES, np.float32) for _ in "ab")
+    x[a], y[b] = 1, 1
+    return np.flatnonzero(x.reshape(NODES, NODES) @ y.reshape(NODES, NODES))
+
+
+def _step(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Products of the blocks that meet at one block of nodes; a side without any has no columns either."""
+    if left.empty or right.empty:
+        return pd.DataFrame([], columns=["i", "j", "cells"])
+    blocks = [(j, _cells(p)) for j, p in zip(right["to"], right["block"], strict=True)]
+    out = [(i, j, _packed(found)) for i, p in zip(left["i"], left["cells"], strict=True) for a in [_cells(p)] for j, b in blocks if len(found := _product(a, b))]
+    return pd.DataFrame(out, columns=["i", "j", "cells"])
+
+
+def _unseen(block: pd.DataFrame) -> pd.DataFrame:
+    """Of one block's rows, the cells of those that are new and of none that is known; a node is no neighbour of itself."""
+    i, j = block["i"].iloc[0], block["j"].iloc[0]
+    seen, known = np.zeros(NODES * NODES, bool), np.zeros(NODES * NODES, bool)
+    known[:: NODES + 1] = i == j
+    for new, packed in zip(block["new"], block["cells"], strict=True):
+        (seen if new else known)[_cells(packed)] = True
+    left = np.flatnonzero(seen & ~known)
+    return pd.DataFrame([(i, j, _packed(left))] if len(left) else [], columns=["i", "j", "cells"])
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks (i, j, cells, hops) as rows, a block at a time."""
+    for batch in batches:
+        for i, j, packed, hops in zip(*(batch.column(k) for k in range(4)), strict=True):
+            cells = _cells(packed.as_py())
+            columns = [i.as_py() * NODES + cells // NODES, j.as_py() * NODES + cells % NODES, np.full(len(cells), hops.as_py(), np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["src", "dst", "hops"])
+
+
 def hops(edges: DataFrame, most: int) -> DataFrame:
-    """src, dst, hops: shortest unweighted paths of at most most edges, breadth first."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
-    front = both.withColumn("hops", F.lit(1))
-    known = front
-    for k in range(2, most + 1):
-        reach = front.select("src", F.col("dst").alias("via")).join(both.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst").where("src <> dst").distinct()
-        front = durable(reach.join(known.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("hops", F.lit(k)))
-        known = known.unionByName(front)
-    return known
+    """src, dst, hops: shortest unweighted paths of at most most edges, breadth first.
+
+    The adjacency matrix is cut into blocks of NODES by NODES, and a step is a
+    product of blocks, so neither the paths nor the pairs are rows before the
+    result: a block takes 128 KB at most, however many edges and paths it holds.
+    """
+    shift, local = NODES.bit_length() - 1, lambda c: F.col(c).bitwiseAND(F.lit(NODES - 1))
+    both = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
+    both = both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst")
+    cells = both.select(F.shiftright("src", shift).alias("i"), F.shiftright("dst", shift).alias("j"), (local("src") * NODES + local("dst")).cast("int").alias("cell"))
+    pack = lambda block: pd.DataFrame([(block["i"].iloc[0], block["j"].iloc[0], _packed(np.unique(block["cell"].to_numpy())))], columns=["i", "j", "cells"])
+    schema = "i long, j long, cells binary"
+    adjacent = durable(cells.distinct().groupBy("i", "j").applyInPandas(pack, schema))
+    dealt = adjacent.withColumn("k", F.col("i")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1)))).select("k", "part", F.col("j").alias("to"), F.col("cells").alias("block"))  # names of their own: both sides of a cogroup may come from one table
+    front, known = adjacent, adjacent.withColumn("hops", F.lit(1))
+    for n in range(2, most + 1):
+        left = front.select(F.col("j").alias("k"), F.pmod("i", F.lit(DEALT)).cast("int").alias("part"), "i", "cells")
+        reached = left.groupBy("k", "part").cogroup(dealt.groupBy("k", "part")).applyInPandas(_step, schema)
+        rows = reached.withColumn("new", F.lit(True)).unionByName(known.drop("hops").withColumn("new", F.lit(False)))
+        front = durable(rows.groupBy("i", "j").applyInPandas(_unseen, schema))
+        known = known.unionByName(front.withColumn("hops", F.lit(n)))
+    return known.select("i", "j", "cells", "hops").mapInArrow(_pairs, "src long, dst long, hops int")

@@ -82,3 +82,42 @@ def test_forests_of_partitions_are_the_rounds(spark, monkeypatch):
 def test_radius_join_sends_no_side_to_the_driver(spark):
     p = spark.range(50).selectExpr("id", "cast(id % 7 as double) as x", "cast(id % 5 as double) as y")
     assert "Broadcast" not in neighbors.radius_join(p, p, 2.0)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_paths_are_never_rows(spark, monkeypatch):
+    """Dense and sparse parts, negative and far apart nodes: shortest paths are those of a search, and no step joins edges."""
+    rng = random.Random(8)
+    edges = {(rng.randrange(-40, 40), rng.randrange(-40, 40)) for _ in range(160)} | {(a, b) for a in range(1000, 1060) for b in range(1000, a)} | {(1059, 10**12), (10**12, 10**12 + 5000), (5, 5)}
+    near = {}
+    for a, b in edges:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = set()
+    for a in near:
+        seen, front = {a}, {a}
+        for n in (1, 2, 3):
+            front = {c for b in front for c in near[b]} - seen
+            seen |= front
+            want |= {(a, b, n) for b in front}
+    df = spark.createDataFrame(sorted(edges), "src long, dst long")
+
+    def no_join(*_, **__):
+        raise AssertionError("edges were joined with paths")
+
+    monkeypatch.setattr(type(df), "join", no_join)
+    got = [tuple(r) for r in graph.hops(df, 3).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert graph.hops(df.limit(0), 3).count() == 0
+
+
+def test_products_of_blocks():
+    """By pairs of edges and as matrices."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for share in (0.001, 0.05, 0.3):
+        a, b = (np.flatnonzero(rng.random(graph.NODES**2) < share) for _ in "ab")
+        x, y = (np.isin(np.arange(graph.NODES**2), c).reshape(graph.NODES, -1).astype(np.float32) for c in (a, b))
+        assert (graph._product(a, b) == np.flatnonzero(x @ y)).all()
+        assert (graph._cells(graph._packed(a)) == a).all()
