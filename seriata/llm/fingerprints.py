@@ -18,6 +18,8 @@ from pyspark.sql.window import Window
 from .common import ranges
 
 K, S = 40, 9
+#: Inner substrings of a k-mer, and how many of them are looked at at once: a power of two, half of INNER at most.
+INNER, STEP = K - S + 1, 8
 SIZE = 64
 #: Code points that are read at a time, so that work space does not follow the length of a text.
 BLOCK = 1 << 14
@@ -48,32 +50,43 @@ def _none() -> Column:
     return F.array().cast("array<bigint>")
 
 
-def _minima(v: Column, run: int) -> Column:
-    """The smallest of each run of values, by doubling: runs of a power of two first. At the end of v runs are cut short."""
+def _chosen(steps: Column, last: Column) -> Column:
+    """The places up to last, in order, at which a run of INNER values begins that has its smallest at either end.
 
-    def grow(a: Column, done: int) -> Column:
-        step = min(done, run - done)
-        wider = lambda x: F.zip_with(x, F.slice(x, step + 1, F.size(x)), lambda a, b: F.least(a, b))
-        return _let(a, lambda x: grow(wider(x), done + step)) if step else a
+    steps: the values in arrays of STEP. Whatever run begins in a step, the next
+    INNER / STEP - 1 steps lie in it whole, so an end above their smallest is
+    none; most steps have no other and are passed over. What follows the last
+    run does not matter.
+    """
+    whole = INNER // STEP
+
+    def places(low: Column) -> Column:
+        inside = lambda q: F.least(*(F.get(low, q + k) for k in range(1, whole)))
+        kept = F.filter(F.sequence(F.lit(0), F.shiftright(last, STEP.bit_length() - 1)), lambda q: F.least(F.get(low, q), F.get(low, q + whole), F.get(F.get(steps, q + (whole - 1)), F.lit(STEP - 1))) <= inside(q))
+
+        def of_step(at: Column) -> Column:
+            """at: the number of the step, its values, those of the step where its runs end and the smallest between."""
+            near = lambda x, j: (x <= at["most"]) | (F.coalesce(F.get(at["after"], j - 1), at["end"]) <= at["most"])
+            smallest = lambda j: F.least(at["most"], F.array_min(F.filter(at["own"], lambda _, k: k >= j)), F.array_min(F.filter(at["after"], lambda _, k: k < j)))
+            ends = lambda x, j: F.least(x, F.coalesce(F.get(at["after"], j - 1), at["end"])) <= smallest(j)
+            marked = F.transform(at["own"], lambda x, j: F.when(near(x, j), F.when(ends(x, j), at["q"] * STEP + j)))
+            return F.filter(marked, lambda i: i <= last)
+
+        step = lambda q: F.struct(q.alias("q"), F.get(steps, q).alias("own"), F.get(steps, q + whole).alias("after"), F.get(F.get(steps, q + (whole - 1)), F.lit(STEP - 1)).alias("end"), inside(q).alias("most"))
+        return F.flatten(F.transform(kept, lambda q: _let(step(q), of_step)))
 
-    return grow(v, 1)
+    return _let(F.transform(steps, F.array_min), places)
 
 
 def syncmers(text: Column) -> Column:
     """array<bigint>: every closed syncmer's hash and place, by place."""
-    inner = K - S + 1
-
     def of_block(raw: Column, at: Column) -> Column:
         """raw: four bytes a code point, K - 1 code points more than BLOCK, the first one at place at."""
-        n = (F.length(raw) / 4).cast("int")
-        hashes = F.transform(F.sequence(F.lit(0), n - F.lit(S)), lambda i: F.xxhash64(F.substring(raw, i * 4 + 1, F.lit(4 * S))))
-
-        def chosen(v: Column) -> Column:
-            ends = lambda m, i: (F.get(v, i) == F.get(m, i)) | (F.get(v, i + F.lit(inner - 1)) == F.get(m, i))
-            return _let(_minima(v, inner), lambda m: F.filter(F.sequence(F.lit(0), n - F.lit(K)), lambda i: ends(m, i)))
-
-        found = _let(hashes, chosen)
-        return F.when(n >= K, F.transform(found, lambda i: _packed(F.xxhash64(F.substring(raw, i * 4 + 1, F.lit(4 * K))), i + at))).otherwise(_none())
+        n = F.length(raw)
+        hash_ = lambda i: F.xxhash64(F.substring(raw, i, F.lit(4 * S)))
+        hashes = F.transform(F.sequence(F.lit(1), n - F.lit(4 * S - 1), F.lit(4 * STEP)), lambda p: F.transform(F.sequence(p, F.least(p + F.lit(4 * STEP - 4), n - F.lit(4 * S - 1)), F.lit(4)), hash_))
+        found = _let(hashes, lambda steps: _chosen(steps, F.shiftright(n, 2) - F.lit(K)))
+        return F.when(n >= 4 * K, F.transform(found, lambda i: _packed(F.xxhash64(F.substring(raw, i * 4 + 1, F.lit(4 * K))), i + at))).otherwise(_none())
 
     def of_text(raw: Column) -> Column:
         n = (F.length(raw) / 4).cast("int")

@@ -149,3 +149,13 @@ def test_long_texts_are_compared_whole(spark, docs_of):
     assert len(r.a) > 8000 and like > 0 and r.like == pytest.approx(like) and r.by == b.index(passage) - a.index(passage)
     got = {x.doc_id: x.near_next for x in P.fingerprints(docs_of([(1, a), (2, b)])).collect()}
     assert got[1] == pytest.approx(r.like)
+
+
+def test_syncmers_need_no_passes_over_whole_arrays(spark):
+    """Each number of places beside a step's, with many equal values; places are chosen step by step."""
+    assert "zip_with" not in str(P.syncmers(F.col("t"))) and "slice" not in str(P.syncmers(F.col("t")))
+    r = random.Random(11)
+    texts = ["".join(r.choice("ab") for _ in range(n)) for n in range(P.K, P.K + 70)]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", P.syncmers(F.col("t")).alias("f")).collect()
+    for row in got:
+        assert [x & P._PLACE for x in row.f] == [i for i, _ in brute_syncmers(texts[row.i])(spark)]
