@@ -123,7 +123,7 @@ def moves(a: Column, b: Column) -> Column:
     # A common anchor's two places stand side by side; its place in a goes above how far it moved.
     pair = lambda x, y: F.when(same(x, y), F.shiftleft(_place(x), PLACE_BITS + 1) + (_place(y) - _place(x) + F.lit(1 << PLACE_BITS)))
     both = F.sort_array(F.concat(side(a, 0), side(b, 1)))
-    met = _let(both, lambda m: F.sort_array(F.filter(F.zip_with(m, F.slice(m, 2, F.size(m)), pair), lambda d: d.isNotNull())))
+    met = _let(both, lambda m: F.sort_array(F.filter(F.transform(m, lambda x, j: pair(x, F.get(m, j + 1))), lambda d: d.isNotNull())))
     return F.transform(met, lambda d: d.bitwiseAND(F.lit((1 << PLACE_BITS + 1) - 1)) - F.lit(1 << PLACE_BITS))
 
 
