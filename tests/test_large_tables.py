@@ -84,6 +84,25 @@ def test_radius_join_sends_no_side_to_the_driver(spark):
     assert "Broadcast" not in neighbors.radius_join(p, p, 2.0)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_radius_join_compares_places(spark, monkeypatch):
+    """Forty points at each of twelve places, null ids and null places: lists of ids meet, and all pairs of points are told."""
+    rows = [(i, float(i % 4), float(i % 12 // 4)) for i in range(480)] + [(None, 0.0, 0.0), (7, 0.0, -0.0), (900, None, 1.0)]
+    p = spark.createDataFrame(rows, "id long, x double, y double")
+    near, met = neighbors.near_places, []
+
+    def compared(a, b, *more):
+        met.extend((a.count(), b.count()))
+        return near(a, b, *more)
+
+    monkeypatch.setattr(neighbors, "near_places", compared)
+    got = [tuple(r) for r in neighbors.radius_join(p, p, 1.5, digits=1).collect()]
+    told = [(a, b, (x - u) ** 2 + (y - v) ** 2) for a, x, y in rows[:-1] for b, u, v in rows[:-1]]
+    assert sorted(map(repr, got)) == sorted(repr((a, b, round(d2, 1))) for a, b, d2 in told if d2 <= 2.25)
+    assert met == [12, 12]
+    parts = neighbors.listed(p, most=16).collect()
+    assert len(parts) > 12 and sorted(str(q.id) for r in parts for q in r.points) == sorted(str(r[0]) for r in rows[:-1])
+
+
 def test_paths_are_never_rows(spark, monkeypatch):
     """Dense and sparse parts, negative and far apart nodes: shortest paths are those of a search, and no step joins edges."""
     rng = random.Random(8)
