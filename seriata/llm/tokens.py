@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from itertools import repeat
 
 import numpy as np
@@ -31,8 +32,8 @@ def vocabulary(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
-#: What the byte-level pre-tokenizer keeps whole in texts of Latin letters and common marks.
-_PLAIN = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+| ?[.,;:!?|]+|\n")
+#: What the byte-level pre-tokenizer keeps whole in texts of Latin letters, digits and ASCII marks but the apostrophe, which may begin a contraction.
+_PLAIN = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+| ?[0-9]+| ?[!-&(-/:-@\[-`{-~]+|\n")
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: The character that stands for each byte in a byte-level vocabulary: itself if it prints, else one from 256 on.
 _BYTES = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
@@ -44,7 +45,7 @@ ENTRY = 150
 
 
 class Encoder:
-    """Encodes Arrow arrays of texts; what it keeps of distinct pieces and words takes about cache_bytes."""
+    """Encodes Arrow arrays of texts; what it keeps of distinct pieces (a quarter) and words takes about cache_bytes."""
 
     def __init__(self, path: str, cache_bytes: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -57,7 +58,7 @@ class Encoder:
         self.cache_bytes, self.held, self.held_words, self.full = cache_bytes, 0, 0, False
         self.byte_level = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and not self.tokenizer.pre_tokenizer.add_prefix_space
         self.model = self.tokenizer.model
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}  # ids of 4 bytes each
         self.known: dict[str, int] = {}
         self.ids, self.used, self.rows = np.zeros(1 << 20, np.uint32), 0, 0
         self.starts, self.counts = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
@@ -81,26 +82,26 @@ class Encoder:
         self.rows += len(pieces)
         if not self.full:
             size = sum(map(len, pieces)) + ENTRY * len(pieces) + 4 * len(ids)
-            kept = min(len(pieces), max(0, self.cache_bytes // 2 - self.held) * len(pieces) // size)
+            kept = min(len(pieces), max(0, self.cache_bytes // 4 - self.held) * len(pieces) // size)
             self.full = kept < len(pieces)
             self.known.update(zip(pieces[:kept], range(n, n + kept)))
             self.held += size * kept // len(pieces)
 
-    def _word(self, word: str) -> list[int]:
+    def _word(self, word: str) -> bytes:
         """Ids of what the pre-tokenizer leaves whole, and is not among the words kept."""
         if word.isascii() and word[1:].isalpha():
             spelled = f"{_SPACE}{word[1:]}" if word[0] == " " else word.translate(_BYTES)
         else:
             spelled = word.encode().decode("latin-1").translate(_BYTES)
-        ids = [t.id for t in self.model.tokenize(spelled)]
-        if self.held_words < self.cache_bytes // 2:
-            self.held_words += ENTRY + len(word) + 8 * len(ids)
+        ids = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        if self.held_words < self.cache_bytes * 3 // 4:
+            self.held_words += ENTRY + len(word) + len(ids)
             self.words[word] = ids
         return ids
 
     def _learn(self, pieces: list[str]) -> list[int]:
         """Encodes pieces that hold no added token; returns in which order they have taken rows."""
-        plain, flat, counts, other, words = [], [], [], [], self.words
+        plain, flat, other, words = [], [], [], self.words
         for at, piece in enumerate(pieces if self.byte_level else ()):
             found = words.get(piece) if piece != "\n" else None
             if found is None:
@@ -111,11 +112,10 @@ class Encoder:
                     other.append(at)
                     continue
                 else:
-                    found = [i for part in parts for i in words.get(part) or self._word(part)]
+                    found = b"".join([words.get(part) or self._word(part) for part in parts])
             plain.append(at)
-            counts.append(len(found))
-            flat += found
-        self._store([pieces[i] for i in plain], np.array(flat, np.uint32), np.array(counts, np.int64))
+            flat.append(found)
+        self._store([pieces[i] for i in plain], np.frombuffer(b"".join(flat), np.uint32), np.fromiter(map(len, flat), np.int64, len(flat)) // 4)
         other = other if self.byte_level else list(range(len(pieces)))
         for a in range(0, len(other), 2048):  # the mark between them keeps them apart
             group = [pieces[i] for i in other[a : a + 2048]]

@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -105,3 +106,20 @@ def test_pack(docs_of, plain):
             end += r.length
         assert end <= 64
     assert pack(docs_of([])).count() == 0
+
+
+def test_marks_and_digits_are_words():
+    """Words with marks or digits behind them need no encoding beside the words'; ids are those of the whole texts."""
+    rng = random.Random(11)
+    draw = lambda some: "".join(rng.choice(some) for _ in range(rng.randrange(1, 4)))
+    marks = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+    plain = [" ".join(draw(("ab", "word", "Zé", "7", "2026", draw(marks), "b\nx")) for _ in range(40)) for _ in range(60)]
+    odd = [" ".join(draw(("we", "'s", "'ll", "'", "%'", "٣", "²", "a", "1", "　", "#", "\n")) for _ in range(40)) for _ in range(60)]
+    whole = Tokenizer.from_file(vocabulary())
+    encoder = Encoder(vocabulary())
+    for texts in (odd, plain):
+        want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+        if texts is plain:
+            encoder.tokenizer = None  # only words are left to do
+        ids, counts = encoder.encode(pa.array(texts))
+        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
