@@ -103,6 +103,19 @@ def test_radius_join_compares_places(spark, monkeypatch):
     assert len(parts) > 12 and sorted(str(q.id) for r in parts for q in r.points) == sorted(str(r[0]) for r in rows[:-1])
 
 
+def test_radius_join_hands_pairs_on_list_by_list(spark):
+    """The two explodes share no compiled code, the second one has bare ids, and the few bytes of points still make many tasks."""
+    p = spark.range(480).selectExpr("id", "cast(id % 4 as double) as x", "cast(id % 3 as double) as y")
+    df = neighbors.radius_join(p, p, 1.5)
+    assert df.rdd.getNumPartitions() >= 8 * spark.sparkContext.defaultParallelism
+    df.collect()
+    told = [line.lstrip("+-: ") for line in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Generate explode(" in line and "points" in line.split(", [")[0]]
+    second, first = told[:2]
+    assert first.startswith("Generate explode(transform(points#") and second.startswith("*(") and "explode(points_r#" in second and "[id_r#" in second
+    lists = neighbors.near_places(neighbors.listed(p), neighbors.listed(p), 1.5, [], 50)
+    assert lists.rdd.getNumPartitions() == 50
+
+
 def test_paths_are_never_rows(spark, monkeypatch):
     """Dense and sparse parts, negative and far apart nodes: shortest paths are those of a search, and no step joins edges."""
     rng = random.Random(8)
