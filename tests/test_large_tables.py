@@ -112,8 +112,13 @@ def test_radius_join_hands_pairs_on_list_by_list(spark):
     told = [line.lstrip("+-: ") for line in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Generate explode(" in line and "points" in line.split(", [")[0]]
     second, first = told[:2]
     assert first.startswith("Generate explode(transform(points#") and second.startswith("*(") and "explode(points_r#" in second and "[id_r#" in second
-    lists = neighbors.near_places(neighbors.listed(p), neighbors.listed(p), 1.5, [], 50)
-    assert lists.rdd.getNumPartitions() == 50
+
+
+def test_radius_join_deals_out_a_cell(spark):
+    """All places lie in one cell, and still several tasks tell their pairs."""
+    p = spark.range(64).selectExpr("id", "id / 100 as x", "id / 200 as y")
+    got = neighbors.radius_join(p, p, 2.0).withColumn("task", F.spark_partition_id()).collect()
+    assert len({(r.id, r.id_r) for r in got}) == len(got) == 64 * 64 and len({r.task for r in got}) > 4
 
 
 def test_paths_are_never_rows(spark, monkeypatch):
